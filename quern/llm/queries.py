@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sql, url_filter
+from . import exact_dedup, mixing, quality_rules, sql, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -21,9 +21,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules}
+    return {"op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": sql.url_filters(), "op4_quality_rules": sql.QUALITY_RULES}
+    return {"op3_url_filters": sql.url_filters(), "op4_quality_rules": sql.QUALITY_RULES, "op7_exact_dedup": sql.EXACT_DEDUP}

@@ -52,3 +52,9 @@ f AS (
     + 8 * CAST(10 * n_dup_lines > 3 * n_lines AND n_dup_lines >= 3 AS INT) + 16 * CAST(word_chars < 2 * n_words AS INT) + 32 * CAST(word_chars > 15 * n_words AS INT)
     + 64 * CAST(2 * n_upper > word_chars AS INT) + 128 * CAST(2 * n_exclaim > n_words AS INT) AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f"""
+
+
+EXACT_DEDUP = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g"""
