@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, sql, url_filter
+from . import exact_dedup, mixing, pii, quality_rules, secret_scan, sql, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -29,8 +29,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text"))[0])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op7_exact_dedup": op7_exact_dedup, "op10_mixing": op10_mixing}
+    return {"op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
