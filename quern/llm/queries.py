@@ -1,17 +1,26 @@
 """The queries of this subpackage: each applies one operator, with production parameters, to its whole table."""
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pii, quality_rules, secret_scan, sql, url_filter
+from . import exact_dedup, mixing, pieces, pii, quality_classifier, quality_rules, secret_scan, sql, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*cols)
 
 
+#: The public model; its path is a parameter of op2_pieces, and of the environment.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return pieces.encode(_read(spark, sf_dir, "documents", "doc_id", "text"), pieces.read_model(model or PIECE_MODEL))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages", "page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -33,12 +42,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_read(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text"))[0])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
+    return {"op2_pieces": op2_pieces, "op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
