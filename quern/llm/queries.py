@@ -6,13 +6,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, pieces, pii, quality_classifier, quality_rules, secret_scan, sql, url_filter
+from . import exact_dedup, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan, sql, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*cols)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90)
+
+
 #: The public model; its path is a parameter of op2_pieces, and of the environment.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -51,8 +55,8 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_pieces": op2_pieces, "op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_pieces": op2_pieces, "op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": sql.url_filters(), "op4_quality_rules": sql.QUALITY_RULES, "op7_exact_dedup": sql.EXACT_DEDUP}
+    return {"op1_ngram_join": sql.NGRAM_JOIN, "op3_url_filters": sql.url_filters(), "op4_quality_rules": sql.QUALITY_RULES, "op7_exact_dedup": sql.EXACT_DEDUP}
