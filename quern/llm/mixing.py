@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, text_of
@@ -78,7 +78,7 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, bucket_rows: int = 2000, fan_in: int = 64, max_sources: int = 100_000) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, bucket_rows: int = 2000, fan_in: int = 64, max_sources: int = 100_000, keep_source: bool = False) -> DataFrame:
     """One row for each input row: (doc_id, size, source_size, target, taken); taken is size times its copies.
 
     Null text has size 0; the null source is a source, the last one. Documents are put into buckets by a hash, so the
@@ -117,4 +117,36 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken"))
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("p").cast("long")).otherwise(F.lit(0)).cast("long")
+    out = out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), *[copies.alias("copies"), "k"] * keep_source)
+    return out.join(F.broadcast(info.select("k", "source")), "k").drop("k") if keep_source else out
+
+
+def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_rows: int = 1_000_000, **how) -> DataFrame:
+    """The mix itself: each row of df as often as mix() takes it, all columns kept.
+
+    Rows of the same id, source and size are told apart by a number in order of text, on both sides; there are few, as a rule.
+    """
+    tmp = Scratch(df.sparkSession, "mix-rows")
+    key = ["_id", "_source", "_size"]
+    m = mix(df, id_col, text_col, source_col, keep_source=True, **how)
+    copies = tmp.save(m.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies"), "copies")
+    keyed = copies.groupBy(*key).agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"))
+    single = tmp.save(keyed.where("_rows = 1").where("_copies > 0").drop("_rows"), "single")
+    many = tmp.save(keyed.where("_rows > 1").select(*key), "many")
+    rows = df.withColumns({"_i": df[id_col].cast("long"), "_s": df[source_col].cast("string"), "_n": word_count(text_of(text_col))})
+
+    def on(t: DataFrame) -> Column:
+        return rows["_i"].eqNullSafe(t["_id"]) & rows["_s"].eqNullSafe(t["_source"]) & (rows["_n"] == t["_size"])
+
+    small = lambda t: F.broadcast(t) if t.count() <= broadcast_rows else t
+    single = small(single)
+    out = rows.join(single, on(single)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+    if many.isEmpty():
+        return out
+    number = F.row_number().over(Window.partitionBy("_i", "_s", "_n").orderBy(text_col))
+    again = rows.join(small(many), on(many), "left_semi").withColumn("_r", number)
+    ranked = copies.join(F.broadcast(many) if many.count() <= broadcast_rows else many, [copies[k].eqNullSafe(many[k]) for k in key], "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy("copies")))
+    same = again["_i"].eqNullSafe(ranked["_id"]) & again["_s"].eqNullSafe(ranked["_source"]) & (again["_n"] == ranked["_size"]) & (again["_r"] == ranked["_rank"])
+    more = again.join(ranked.where("copies > 0"), same).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*df.columns)
+    return out.unionByName(more)

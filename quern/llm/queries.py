@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan, sql, url_filter
+from . import exact_dedup, license_scan, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan, sql, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(_read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_read(spark, sf_dir, "documents", "doc_id", "text")))
 
@@ -55,7 +59,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_pieces": op2_pieces, "op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op2_pieces": op2_pieces, "op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op5_license_scans": op5_license_scans, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
