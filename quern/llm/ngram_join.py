@@ -33,9 +33,10 @@ from .common import Scratch
 from .components import connected_components
 
 SMALL = 30
-FLUSH = 2_000_000  #: signatures that a task holds before it joins and sends them
+FLUSH = 1_000_000  #: signatures that a task holds before it joins and sends them
 BLOCK = 4_000_000  #: shingles of a block that one task takes
 HEAP = 20_000  #: postings up to which short lists are merged by a heap; more are merged by sorting them
+BROADCAST_ROWS = 1_000_000  #: of (doc_id, block, unit), up to which texts outside all blocks are left out without a shuffle
 MU = 0.0085  #: DivideSkip's weight of the longest list's length
 U = np.uint64
 
@@ -392,7 +393,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     whole = members.where(F.col("n") <= block).select("doc_id", "block", F.lit(0).alias("unit"))
     cut = members.where(F.col("n") > block).withColumn("chunks", chunks).withColumn("mine", mine).select("doc_id", "block", "chunks", "mine", other)
     cut = cut.select("doc_id", "block", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("unit"))
-    units = known.join(whole.unionByName(cut), "doc_id").select("block", "unit", "doc_id", "text")
+    where = whole.unionByName(cut)
+    units = known.join(F.broadcast(where) if where.count() <= BROADCAST_ROWS else where, "doc_id").select("block", "unit", "doc_id", "text")
     units = units.repartition("block", "unit").sortWithinPartitions("block", "unit")
     links = tmp.save(units.mapInArrow(lambda it: _search(it, words, percent), "a long, b long"), "links")
     roots = connected_components(links.unionByName(same), tmp, "groups").withColumnRenamed("node", "doc_id")
