@@ -576,3 +576,33 @@ def encrypted(spark, d):
 @q("w8_unique", "SELECT l_orderkey, 'unique:l_orderkey,l_linenumber' AS rule FROM lineitem JOIN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) USING (l_orderkey, l_linenumber)")
 def unique(spark, d):
     return C.violations(_t(spark, d, "lineitem"), ["l_orderkey"], unique=(("l_orderkey", "l_linenumber"),))
+
+
+# ---- streams: files are read as they come, to the end
+
+
+def _ended(stream, name, mode):
+    spark = stream.sparkSession
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _event_stream(spark, d):
+    return spark.readStream.schema(_t(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@q("st1_hourly_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly(spark, d):
+    from ..streaming import views
+
+    s = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = _ended(views.windowed(s, "ts", ["event_type"], "1 day", "40 days"), "st1", "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@q("st2_once_per_key", "SELECT count(DISTINCT event_id) AS n FROM events")
+def once(spark, d):
+    from ..streaming import views
+
+    s = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _ended(views.once(s, "ts", ["event_id"], "40 days"), "st2", "append").agg(F.count("*").alias("n"))
