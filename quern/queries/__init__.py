@@ -23,9 +23,9 @@ class Theme:
 
 
 def every() -> tuple[dict[str, Query], dict[str, str]]:
-    from . import core, data
+    from . import core, data, more
 
-    themes = [core.q, data.q]
+    themes = [core.q, data.q, more.q]
     queries, sql = {}, {}
     for t in themes:
         queries |= t.queries
