@@ -57,9 +57,9 @@ def snapshot(spark, d):
     return W.as_of(_log(spark, d), 500, "user_id", "event_id").select("user_id", "value")
 
 
-@q("jn16_as_of_join", "SELECT o_orderkey, (SELECT arg_max(value, event_id) FROM events WHERE user_id = o_custkey AND event_id <= o_orderkey) AS value FROM orders WHERE o_custkey < 150")
+@q("jn16_as_of_join", "SELECT o_orderkey, (SELECT arg_max(value, event_id) FROM events WHERE user_id = o_custkey AND event_id <= o_orderkey) AS value FROM orders")
 def as_of_join(spark, d):
-    reads = _t(spark, d, "orders").where("o_custkey < 150").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("snapshot"))
+    reads = _t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("snapshot"))
     return W.as_of_each(reads, _log(spark, d), "user_id", "event_id", "value").select("o_orderkey", "value")
 
 
@@ -221,7 +221,7 @@ def routed(spark, d):
 @q("tx14_batch_transfers")
 def batch_transfers(spark, d):
     a = _t(spark, d, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").cast("decimal(12,2)").alias("balance"))
-    o = _t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("tx"), F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + 1) % 1000).alias("dst"), F.lit(50).cast("decimal(12,2)").alias("amount"))
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("tx"), F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + 1) % 1000).alias("dst"), F.lit(50).cast("decimal(12,2)").alias("amount"))
     return N.transfers(a, o)[0]
 
 
@@ -237,7 +237,9 @@ _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
 
 
 def _query(spark, d, *ids):
-    return {r["vec_id"]: [float(x) for x in r["embedding"]] for r in _t(spark, d, "embeddings").where(F.col("vec_id").isin(*ids)).collect()}
+    """The given vectors, or as a stated query set those whose id is divisible by 20."""
+    e = _t(spark, d, "embeddings")
+    return {r["vec_id"]: [float(x) for x in r["embedding"]] for r in e.where(F.col("vec_id").isin(*ids) if ids else F.col("vec_id") % 20 == 0).limit(V.MAX_QUERIES + 1).collect()}
 
 
 @q("sl6_knn_cosine", f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
@@ -258,25 +260,25 @@ def knn_dot(spark, d):
 @q("wn4_knn_batch", """
 SELECT qid, rank, vec_id FROM (
   SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rank
-  FROM embeddings a, embeddings b WHERE a.vec_id IN (1, 2, 3, 50, 99)) WHERE rank <= 5""")
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 5""")
 def knn_batch(spark, d):
-    return V.knn_batch(_t(spark, d, "embeddings"), _query(spark, d, 1, 2, 3, 50, 99), 5).select("qid", F.col("rank").cast("long").alias("rank"), "vec_id")
+    return V.knn_batch(_t(spark, d, "embeddings"), _query(spark, d), 5).select("qid", F.col("rank").cast("long").alias("rank"), "vec_id")
 
 
 @q("sl11_inverted_lists")
 def ivf(spark, d):
     e = _t(spark, d, "embeddings")
-    return V.InvertedLists(16, 5).build(e).search(_query(spark, d, 1, 2, 3), 10, 4)
+    return V.InvertedLists(16, 5).build(e).search(_query(spark, d), 10, 4)
 
 
 @q("sl12_graph_index")
 def hnsw(spark, d):
-    return V.graph_search(_t(spark, d, "embeddings"), _query(spark, d, 1, 2, 3), 10, partitions=4)
+    return V.graph_search(_t(spark, d, "embeddings"), _query(spark, d), 10, partitions=4)
 
 
-@q("ag20_recall", "SELECT qid, CAST(1 AS DOUBLE) AS recall FROM (VALUES (1), (2), (3)) t(qid)")
+@q("ag20_recall", "SELECT vec_id AS qid, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 20 = 0")
 def recall(spark, d):
-    e, qs = _t(spark, d, "embeddings"), _query(spark, d, 1, 2, 3)
+    e, qs = _t(spark, d, "embeddings"), _query(spark, d)
     return V.recall(V.InvertedLists(16, 3).build(e).search(qs, 10, 16), V.knn_batch(e, qs, 10))
 
 
@@ -347,10 +349,10 @@ def hashed(spark, d):
 
 @q("jn14_ring", f"""
 WITH points AS (SELECT {_MD5.format("n || '#' || i")} AS p, n FROM (VALUES ('n1'), ('n2'), ('n3')) t(n), range(50) r(i)),
-keys AS (SELECT o_orderkey, {_MD5.format('o_orderkey')} AS h FROM orders WHERE o_orderkey < 2000)
+keys AS (SELECT o_orderkey, {_MD5.format('o_orderkey')} AS h FROM orders)
 SELECT o_orderkey, coalesce((SELECT arg_min(n, p) FROM points WHERE p >= h), (SELECT arg_min(n, p) FROM points)) AS node FROM keys""")
 def ring(spark, d):
-    o = _t(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey")
+    o = _t(spark, d, "orders").select("o_orderkey")
     return P.Ring(["n1", "n2", "n3"], 50).place(o, "o_orderkey").select("o_orderkey", F.col("replicas")[0].alias("node"))
 
 
@@ -554,7 +556,7 @@ def cache_study(spark, d):
 
 @q("tx20_split_votes")
 def split_votes(spark, d):
-    return S.split_votes(spark, 40)
+    return S.split_votes(spark)
 
 
 @q("ag24_availability", "SELECT * FROM (VALUES ('ap', 'left', 2, 2, 0), ('ap', 'right', 1, 1, 1)) t(system, side, ok, total, stale)")

@@ -81,9 +81,9 @@ def sc21(spark, d):
     return spark.createDataFrame(got, T.StructType([T.StructField("file_name", T.StringType()), T.StructField("intact", T.BooleanType())]))
 
 
-@q("sc22_joined_list", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey < 100 ORDER BY o_orderkey")
+@q("sc22_joined_list", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY o_orderkey")
 def sc22(spark, d):
-    return _t(spark, d, "orders").where("o_orderkey < 100").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name").orderBy("o_orderkey")
+    return _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name").orderBy("o_orderkey")
 
 
 @q("sc24_index_side_table", "SELECT DISTINCT l_orderkey AS _id FROM lineitem WHERE l_partkey IN (10, 20)")
@@ -121,17 +121,17 @@ def pf24(spark, d):
     return Z.window(r, 4, 0, 8, 1).where("xmin <= 9.5").select("id")
 
 
-@q("jn10_restricted_lookup", "SELECT o_orderkey AS _id, CAST(count(c_custkey) AS INT) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING' WHERE o_orderkey < 500 GROUP BY 1")
+@q("jn10_restricted_lookup", "SELECT o_orderkey AS _id, CAST(count(c_custkey) AS INT) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING' GROUP BY 1")
 def jn10(spark, d):
-    a = _coll(spark, d)["orders"].aggregate([{"$match": {"_id": {"$lt": 500}}}, {"$lookup": {"from": "customers", "localField": "customer", "foreignField": "_id", "as": "c"}}], {"segment": "BUILDING"})
+    a = _coll(spark, d)["orders"].aggregate([{"$lookup": {"from": "customers", "localField": "customer", "foreignField": "_id", "as": "c"}}], {"segment": "BUILDING"})
     return a.select("_id", F.size("c").alias("n"))
 
 
-@q("jn9_lookup_through_array", "SELECT l_orderkey AS _id, CAST(count(DISTINCT l_partkey) AS INT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey < 300 GROUP BY 1")
+@q("jn9_lookup_through_array", "SELECT l_orderkey AS _id, CAST(count(DISTINCT l_partkey) AS INT) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def jn9_array(spark, d):
     db = _coll(spark, d)
     db["parts"] = D.Collection(_t(spark, d, "part").select(F.col("p_partkey").alias("_id"), F.array("p_partkey").alias("_seq")), db)
-    a = db["orders"].aggregate([{"$match": {"_id": {"$lt": 300}, "items": {"$exists": True}}}, {"$lookup": {"from": "parts", "localField": "items.part", "foreignField": "_id", "as": "p"}}])
+    a = db["orders"].aggregate([{"$match": {"items": {"$exists": True}}}, {"$lookup": {"from": "parts", "localField": "items.part", "foreignField": "_id", "as": "p"}}])
     return a.select("_id", F.size("p").alias("n"))
 
 
@@ -195,9 +195,9 @@ def sl14(spark, d):
     return spark.createDataFrame([(a["grounded"], len(a["citations"]))], "grounded boolean, citations int")
 
 
-@q("sl15_merged_runs", "SELECT o_orderkey FROM orders WHERE o_orderkey < 200 ORDER BY o_orderkey")
+@q("sl15_merged_runs", "SELECT o_orderkey FROM orders ORDER BY o_orderkey")
 def sl15(spark, d):
-    o = _t(spark, d, "orders").where("o_orderkey < 200").select("o_orderkey")
+    o = _t(spark, d, "orders").select("o_orderkey")
     return o.where("o_orderkey % 2 = 0").unionByName(o.where("o_orderkey % 2 = 1")).orderBy("o_orderkey")
 
 
@@ -218,9 +218,9 @@ def fn8(spark, d):
     return _t(spark, d, "customer").select("c_custkey", k.alias("k"), F.coalesce(k, F.lit(-1)).alias("v"), F.col("c_acctbal").between(0, 100).alias("b"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("s"))
 
 
-@q("fn9_unnest", "SELECT l_orderkey, i.p AS part FROM (SELECT l_orderkey, list(l_partkey) AS a FROM lineitem WHERE l_orderkey < 50 GROUP BY 1), unnest(a) i(p)")
+@q("fn9_unnest", "SELECT l_orderkey, i.p AS part FROM (SELECT l_orderkey, list(l_partkey) AS a FROM lineitem GROUP BY 1), unnest(a) i(p)")
 def fn9(spark, d):
-    return _orders(spark, d).where("_id < 50").select(F.col("_id").alias("l_orderkey"), F.explode("items.part").alias("part"))
+    return _orders(spark, d).select(F.col("_id").alias("l_orderkey"), F.explode("items.part").alias("part"))
 
 
 @q("fn15_rectangles", "SELECT i AS id, CAST(i * 2 AS DOUBLE) AS area FROM range(10) t(i)")
@@ -235,9 +235,9 @@ def fn16(spark, d):
     return e.where(D.matches_variant(F.col("v"), {"k": {"$gt": "5"}})).select("event_id")
 
 
-@q("fn19_computed_fields", "SELECT o_orderkey AS _id, o_custkey AS who, o_totalprice AS total FROM orders WHERE o_orderkey < 100")
+@q("fn19_computed_fields", "SELECT o_orderkey AS _id, o_custkey AS who, o_totalprice AS total FROM orders")
 def fn19(spark, d):
-    a = _coll(spark, d)["orders"].aggregate([{"$match": {"_id": {"$lt": 100}}}, {"$project": {"pair": {"who": "$customer", "total": "$total"}}}])
+    a = _coll(spark, d)["orders"].aggregate([{"$project": {"pair": {"who": "$customer", "total": "$total"}}}])
     return a.select("_id", "pair.who", "pair.total")
 
 
