@@ -6,7 +6,8 @@
    two linked sets of that size class differ: at least one part then agrees. Smaller sets use pairs of their lowest
    shingles (two linked sets share two of them). Signatures travel as packed arrays; equal ones inside a task are joined
    there, so a signature that a third of all documents have reaches its reducer once for each task.
-3. Documents connected by signatures form a block. In each block a T-occurrence search takes every document as a query
+3. Documents connected by signatures form a block. Long passages that many documents share can connect too many; such large
+   blocks are signed again without their most frequent shingles. In each block a T-occurrence search takes every document as a query
    against the earlier ones: DivideSkip sets the longest inverted lists aside, merges the short ones with a heap that skips,
    and probes the long ones by binary search, until a document reaches its required overlap or cannot any more. Documents
    already known to be in one group with the query are passed over. Blocks over a limit are cut into chunks, and each pair
@@ -21,7 +22,7 @@ import bisect
 import heapq
 from collections.abc import Iterator
 from itertools import chain
-from math import log2
+from math import exp, log2
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .components import connected_components
 
-SMALL = 30
+SMALL = 48
 FLUSH = 1_000_000  #: signatures that a task holds before it joins and sends them
-BLOCK = 4_000_000  #: shingles of a block that one task takes
+FREQUENT = 1_000_000  #: shingles that are left out of the signatures of large blocks, at most
+BLOCK = 8_000_000  #: shingles of a block that one task takes
 HEAP = 20_000  #: postings up to which short lists are merged by a heap; more are merged by sorting them
 BROADCAST_ROWS = 1_000_000  #: of (doc_id, block, unit), up to which texts outside all blocks are left out without a shuffle
 MU = 0.0085  #: DivideSkip's weight of the longest list's length
@@ -93,43 +95,68 @@ class Signatures:
             lo, c = self.largest(lo) + 1, c + 1
         return c
 
-    def parts(self, c: int) -> tuple[int, int, int]:
+    def parts(self, c: int, thin: bool = False) -> tuple[int, int, int]:
         """(parts, spare parts, elements that a part needs to be strong) of class c.
 
-        With `spare` parts beyond d + 1, a set of which at most so many parts are weak has a strong one that agrees.
+        With `spare` parts beyond d + 1, a set of which at most so many parts are weak has a strong one that agrees. Spare parts
+        are chosen so that few sets of the class have more weak ones. `thin` is for sets without their frequent elements, which
+        may be much smaller: four times the parts, of which most may be empty.
         """
-        if c not in self.classes:
-            lo = SMALL + 1
+        if (c, thin) not in self.classes:
+            lo, least = SMALL + 1, SMALL + 1
             for _ in range(c):
-                lo = self.largest(lo) + 1
+                lo, least = self.largest(lo) + 1, lo
             d = 2 * self.largest(lo) * (100 - self.t) // (100 + self.t)
-            strong = 2 if d >= 40 else 1
-            spare = d // (5 if strong == 2 else 8) + 1
-            self.classes[c] = (d + 1 + spare, spare, strong)
-        return self.classes[c]
+            found = (4 * (d + 1), 4 * (d + 1) - d - 1, 1) if thin else None
+            for strong, spare in [] if thin else [(2, x) for x in range(1, d // 2 + 3)] + [(1, x) for x in range(1, d // 2 + 3)]:
+                m = d + 1 + spare
+                load = least / m
+                weak = m * exp(-load) * (1 + load if strong == 2 else 1)
+                if weak + 3 * weak**0.5 + 1 <= spare:
+                    found = (m, spare, strong)
+                    break
+            self.classes[c, thin] = found or (d + 1 + d // 2 + 2, d // 2 + 2, 1)
+        return self.classes[c, thin]
+
+    def of(self, s: np.ndarray, frequent: np.ndarray | None = None) -> np.ndarray:
+        """The signatures of a sorted set.
 
-    def of(self, s: np.ndarray) -> np.ndarray:
+        `frequent` is any sorted set of elements, here those that many documents share. Two linked sets differ in at most d
+        elements outside it as well, so parts of the other elements alone do; only a set with too few of these for its strong
+        parts emits the signatures of its whole set too. Prefixes take frequent elements last. Which elements are frequent
+        never decides what is found, only how many unlinked documents share a signature.
+        """
         n, out = len(s), []
+        often = np.zeros(n, bool) if frequent is None or not len(frequent) else frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
         if n <= self.largest(SMALL):
-            p = s[: min(n, self.prefix(n))]
+            p = np.r_[s[~often], s[often]][: min(n, self.prefix(n))]
             if len(p) >= 2:
                 i, j = np.triu_indices(len(p), 1)
-                out.append(_mix(_mix(p[i]) * U(3) + p[j]))
+                out.append(_mix(_mix(np.minimum(p[i], p[j])) * U(3) + np.maximum(p[i], p[j])))
         if n > SMALL:
-            mixed, own = np.r_[U(0), np.cumsum(_mix(s ^ U(0x5851F42D4C957F2D)), dtype=U)], self.class_of(n)
+            own = self.class_of(n)
             for c in (own, own + 1):
-                m, spare, strong = self.parts(c)
-                if m not in self.cuts:
-                    self.cuts[m] = np.array([(i << 64) // m for i in range(1, m)], U)
-                at = np.r_[0, np.searchsorted(s, self.cuts[m]), n]
-                sums, size = mixed[at[1:]] - mixed[at[:-1]], np.diff(at)
-                key = _mix(_mix(sums) + U(1 + c * 1_000_003) + np.arange(m, dtype=U) * U(0xA24BAED4963EE407))
-                weak = size < strong
-                out.append(key[~weak])
-                if weak.sum() > spare:  # two such sets may agree in weak parts alone: those get signatures of their own
-                    out.append(_mix(key[weak] + U(0x2545F4914F6CDD1D)))
+                strong, weak = self._parts(s[~often], c, frequent is not None)
+                out.append(strong)
+                if weak is not None and frequent is not None:
+                    strong, weak = self._parts(s, c)
+                    out.append(_mix(strong + U(0x9FB21C651E98DF25)))
+                if weak is not None:
+                    out.append(_mix(weak + U(0x2545F4914F6CDD1D)))
         return np.unique(np.concatenate(out)) if out else np.empty(0, U)
 
+    def _parts(self, s: np.ndarray, c: int, thin: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(keys of strong parts, and of weak ones where there are more than spare: two such sets may agree in these alone)."""
+        m, spare, strong = self.parts(c, thin)
+        if m not in self.cuts:
+            self.cuts[m] = np.array([(i << 64) // m for i in range(1, m)], U)
+        mixed = np.r_[U(0), np.cumsum(_mix(s ^ U(0x5851F42D4C957F2D)), dtype=U)]
+        at = np.r_[0, np.searchsorted(s, self.cuts[m]), len(s)]
+        sums, size = mixed[at[1:]] - mixed[at[:-1]], np.diff(at)
+        key = _mix(_mix(sums) + U(1 + c * 1_000_003 + thin * 500_009) + np.arange(m, dtype=U) * U(0xA24BAED4963EE407))
+        weak = size < strong
+        return key[~weak], key[weak] if weak.sum() > spare else None
+
 
 def _stars(keys: np.ndarray, ids: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions of each key's smallest id, edges' smaller ends, larger ends) of equal keys."""
@@ -172,7 +199,7 @@ DOC, SAME, NEAR, SIGNS, PRINTS = range(5)
 _ROWS = pa.schema([("r", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
-def _map(batches: Iterator[pa.RecordBatch], k: int, percent: int, ranges: int) -> Iterator[pa.RecordBatch]:
+def _map(batches: Iterator[pa.RecordBatch], k: int, percent: int, ranges: int, frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Packed rows of (range, kind, arrays): documents, edges found inside the task, signatures and fingerprints."""
     signs = Signatures(percent)
     seen: dict[bytes, int] = {}
@@ -219,7 +246,7 @@ def _map(batches: Iterator[pa.RecordBatch], k: int, percent: int, ranges: int) -
                 lead = seen.setdefault(fp, doc)
                 if lead == doc:
                     prints.append((int.from_bytes(fp[:8], "big"), int.from_bytes(fp[8:], "big"), doc))
-                    sig = signs.of(s)
+                    sig = signs.of(s, frequent)
                     held.append((sig, doc))
                     count += len(sig)
                 else:
@@ -243,6 +270,35 @@ def _reduce(t: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(np.repeat([k for k, _, _ in out], [len(a) for _, a, _ in out]).astype(np.int32)), "a": pa.array(np.concatenate([a for _, a, _ in out])), "b": pa.array(np.concatenate([b for _, _, b in out]))})
 
 
+def _tokens(batches: Iterator[pa.RecordBatch], k: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Packed (range, shingles, counts), counted inside the task."""
+    held, n = [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, n
+        x, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
+        where = ((x >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+        at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(x) else []
+        rows = [(int(where[i]), x[i:j].tobytes(), c[i:j].astype(np.int64).tobytes()) for i, j in zip(at, [*at[1:], len(x)])]
+        held, n = [], 0
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["r", "x", "c"])
+
+    for batch in batches:
+        for text in batch.column(1):
+            held.append(shingles(text.as_py(), k))
+            n += len(held[-1])
+            if n >= FLUSH:
+                yield flush()
+    yield flush()
+
+
+def _frequent(t: pa.Table, least: int) -> pa.Table:
+    x, c = np.frombuffer(b"".join(t["x"].to_pylist()), U), np.frombuffer(b"".join(t["c"].to_pylist()), np.int64)
+    u, back = np.unique(x, return_inverse=True)
+    total = np.bincount(back, weights=c) if len(u) else np.empty(0)
+    return pa.table({"x": pa.array(u[total >= least].view(np.int64))})
+
+
 class Search:
     """T-occurrence search over one block: documents are added in order of size, each as a query first."""
 
@@ -261,9 +317,10 @@ class Search:
     def need(self, n: int, m: int) -> int:
         return -(-self.t * (n + m) // (100 + self.t))
 
-    def add(self, tokens: list[int]) -> None:
+    def add(self, tokens: list[int], size: int | None = None) -> None:
+        """`size` is the whole set's; tokens may leave out those that no other document of the block has."""
         q = len(self.sizes)
-        self.sizes.append(len(tokens))
+        self.sizes.append(len(tokens) if size is None else size)
         self.up.append(q)
         self.groups += 1
         if q and tokens:
@@ -284,7 +341,7 @@ class Search:
         return self.groups == 1
 
     def _query(self, q: int, tokens: list[int]) -> None:
-        n = len(tokens)
+        n = self.sizes[q]
         least = -(-self.t * n // 100)  # the overlap that the smallest partner needs; sizes only grow from query to query
         lists = [x for x in map(self.lists.get, tokens) if x is not None]
         if len(lists) < least:
@@ -342,8 +399,11 @@ def search_block(docs: list[tuple[int, np.ndarray]], percent: int) -> list[tuple
     """Pairs (smallest id of a group, other id) of the groups that links form among (id, set)."""
     docs = sorted(docs, key=lambda d: (len(d[1]), d[0]))
     s = Search(percent)
+    every = np.sort(np.concatenate([t for _, t in docs])) if docs else np.empty(0, U)
+    both = every[1:][every[1:] == every[:-1]]
     for _, tokens in docs:
-        s.add(tokens.tolist())
+        shared = tokens[both[np.minimum(np.searchsorted(both, tokens), len(both) - 1)] == tokens] if len(both) else both
+        s.add(shared.tolist(), len(tokens))
     low: dict[int, int] = {}
     for i, (doc, _) in enumerate(docs):
         r = s.root(i)
@@ -366,6 +426,11 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """To be broadcast where it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row for each input row: (doc_id, n_shingles, component_id).
 
@@ -387,14 +452,28 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     members = nodes.join(copies, "doc_id", "left_anti").join(docs.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
     sizes = members.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where("docs > 1")
     members = tmp.save(members.drop("n").join(sizes, "block"), "members")
+    large = members.where(F.col("n") > block).select("doc_id")
+    total = members.where(F.col("n") > block).select("block", "n").distinct().agg(F.sum("n")).first()[0]
+    if total:  # documents that share long passages may be one block: sign them again without the shingles that many share
+        texts = known.join(_small(large), "doc_id")
+        least = max(20, -(-total // FREQUENT))
+        counted = texts.select("doc_id", "text").mapInArrow(lambda it: _tokens(it, words, ranges), "r int, x binary, c binary")
+        often = np.sort(np.array([r["x"] for r in counted.groupBy("r").applyInArrow(lambda t: _frequent(t, least), "x long").collect()], np.int64).view(U))
+        again = texts.select("doc_id", "text").mapInArrow(lambda it: _map(it, words, percent, ranges, often), "r int, kind int, a binary, b binary, c binary")
+        finer = tmp.save(again.groupBy("r").applyInArrow(_reduce, "kind int, a long, b long"), "finer").where(F.col("kind") != DOC).select("a", "b")
+        parts = connected_components(finer, tmp, "parts")
+        nodes = parts.select(F.col("node").alias("doc_id"), F.col("root").alias("block")).unionByName(parts.select("root").distinct().select(F.col("root").alias("doc_id"), F.col("root").alias("block")))
+        nodes = nodes.join(large, "doc_id", "left_semi").join(docs.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
+        sizes = nodes.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where("docs > 1")
+        members = members.where(F.col("n") <= block).unionByName(nodes.drop("n").join(sizes, "block").select(*members.columns))
+        members = tmp.save(members, "finer-members")
     chunks = F.greatest(F.lit(2), F.ceil(F.col("n") / (block / 2)).cast("int"))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine"))).alias("other")
     whole = members.where(F.col("n") <= block).select("doc_id", "block", F.lit(0).alias("unit"))
     cut = members.where(F.col("n") > block).withColumn("chunks", chunks).withColumn("mine", mine).select("doc_id", "block", "chunks", "mine", other)
     cut = cut.select("doc_id", "block", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("unit"))
-    where = whole.unionByName(cut)
-    units = known.join(F.broadcast(where) if where.count() <= BROADCAST_ROWS else where, "doc_id").select("block", "unit", "doc_id", "text")
+    units = known.join(_small(whole.unionByName(cut)), "doc_id").select("block", "unit", "doc_id", "text")
     units = units.repartition("block", "unit").sortWithinPartitions("block", "unit")
     links = tmp.save(units.mapInArrow(lambda it: _search(it, words, percent), "a long, b long"), "links")
     roots = connected_components(links.unionByName(same), tmp, "groups").withColumnRenamed("node", "doc_id")
