@@ -1,7 +1,9 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, and the groups that such links form.
 
 1. Each document becomes a sorted set of 64-bit shingle hashes. Documents with the same set meet by a 128-bit fingerprint.
-2. Signatures, of which any two linked documents share at least one, tell which documents can be linked at all. A set of
+2. Signatures, of which any two linked documents share at least one, tell which documents can be linked at all. Below PARTS_FROM
+   percent they are a set's rarest shingles, as many as it could miss and one: two linked sets share one of them. All shingles
+   are counted for that, into two bitmaps of a fixed size. At higher thresholds no counts are needed: a set of
    over SMALL shingles is cut into d + 1 parts or more, by hash range, where d is the largest number of shingles in which
    two linked sets of that size class differ: at least one part then agrees. Smaller sets use pairs of their lowest
    shingles (two linked sets share two of them). Signatures travel as packed arrays; equal ones inside a task are joined
@@ -38,6 +40,7 @@ FLUSH = 1_000_000  #: signatures that a task holds before it joins and sends the
 FREQUENT = 1_000_000  #: shingles that are left out of the signatures of large blocks, at most
 BLOCK = 8_000_000  #: shingles of a block that one task takes
 HEAP = 20_000  #: postings up to which short lists are merged by a heap; more are merged by sorting them
+PARTS_FROM = 90  #: percent from which sets are signed by parts, and below which by their rarest shingles
 BROADCAST_ROWS = 1_000_000  #: of (doc_id, block, unit), up to which texts outside all blocks are left out without a shuffle
 MU = 0.0085  #: DivideSkip's weight of the longest list's length
 U = np.uint64
@@ -127,12 +130,15 @@ class Signatures:
         never decides what is found, only how many unlinked documents share a signature.
         """
         n, out = len(s), []
+        if isinstance(frequent, Rarity):
+            order = s[np.argsort(frequent.rank(s), kind="stable")]
+            if n > self.largest(SMALL):
+                return np.sort(_mix(order[: self.prefix(n) - 1] + U(0x632BE59BD9B4E019)))
+            pairs = self._pairs(order[: min(n, self.prefix(n))])
+            return np.unique(np.concatenate([*pairs, _mix(order[: self.prefix(n) - 1] + U(0x632BE59BD9B4E019))] if n > SMALL else pairs)) if pairs or n > SMALL else np.empty(0, U)
         often = np.zeros(n, bool) if frequent is None or not len(frequent) else frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
         if n <= self.largest(SMALL):
-            p = np.r_[s[~often], s[often]][: min(n, self.prefix(n))]
-            if len(p) >= 2:
-                i, j = np.triu_indices(len(p), 1)
-                out.append(_mix(_mix(np.minimum(p[i], p[j])) * U(3) + np.maximum(p[i], p[j])))
+            out += self._pairs(np.r_[s[~often], s[often]][: min(n, self.prefix(n))])
         if n > SMALL:
             own = self.class_of(n)
             for c in (own, own + 1):
@@ -145,6 +151,13 @@ class Signatures:
                     out.append(_mix(weak + U(0x2545F4914F6CDD1D)))
         return np.unique(np.concatenate(out)) if out else np.empty(0, U)
 
+    @staticmethod
+    def _pairs(p: np.ndarray) -> list[np.ndarray]:
+        if len(p) < 2:
+            return []
+        i, j = np.triu_indices(len(p), 1)
+        return [_mix(_mix(np.minimum(p[i], p[j])) * U(3) + np.maximum(p[i], p[j]))]
+
     def _parts(self, s: np.ndarray, c: int, thin: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """(keys of strong parts, and of weak ones where there are more than spare: two such sets may agree in these alone)."""
         m, spare, strong = self.parts(c, thin)
@@ -299,6 +312,74 @@ def _frequent(t: pa.Table, least: int) -> pa.Table:
     return pa.table({"x": pa.array(u[total >= least].view(np.int64))})
 
 
+RARE_BITS = 27  #: a fixed 16 MB for each of the two bitmaps of shingles that are in two documents, and in MANY
+MANY = 32
+
+
+class Rarity:
+    """Two bitmaps over the top bits of a shingle's hash: whether two documents have it, and whether MANY have. Hashes that share
+    a bit share its answer, which makes an order of shingles a little less good and never wrong."""
+
+    def __init__(self, twice: np.ndarray, many: np.ndarray):
+        self.bits = (twice, many)
+
+    def rank(self, s: np.ndarray) -> np.ndarray:
+        """0, 1 or 2 for shingles of one, some and many documents."""
+        i = s >> U(64 - RARE_BITS)
+        at, bit = (i >> U(3)).astype(np.int64), (i & U(7)).astype(np.uint8)
+        return sum((b[at] >> bit) & 1 for b in self.bits)
+
+
+def _cut(x: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash, so that a range is a run of bytes of the bitmaps."""
+    return ((x >> U(64 - RARE_BITS + 3)) * U(ranges) >> U(RARE_BITS - 3)).astype(np.int64)
+
+
+def _tops(batches: Iterator[pa.RecordBatch], k: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Packed (range, top 32 bits of shingles); each document has each of its shingles once."""
+    held, n = [], 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, n
+        x = np.sort(np.concatenate(held)) if held else np.empty(0, U)
+        where = _cut(x, ranges)
+        at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(x) else []
+        rows = [(int(where[i]), (x[i:j] >> U(32)).astype(np.uint32).tobytes()) for i, j in zip(at, [*at[1:], len(x)])]
+        held, n = [], 0
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["r", "x"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            held.append(shingles(text.as_py(), k))
+            n += len(held[-1])
+            if n >= 2 * FLUSH:
+                yield flush()
+    yield flush()
+
+
+def _segments(t: pa.Table) -> pa.Table:
+    """(first byte, bytes of the one bitmap, of the other) of one range: its share of a fixed size."""
+    x = np.sort(np.frombuffer(b"".join(t["x"].to_pylist()), np.uint32))
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
+    count, x = np.diff(np.r_[first, len(x)]), x[first] >> (32 - RARE_BITS)
+    lo, hi = (int(x[0]) >> 3, int(x[-1]) >> 3) if len(x) else (0, 0)
+    out = []
+    for least in (2, MANY):
+        bits = np.zeros((hi - lo + 1) * 8, np.uint8)
+        bits[x[count >= least].astype(np.int64) - lo * 8] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return pa.table({"at": pa.array([lo], pa.int64()), "twice": pa.array([out[0]], pa.binary()), "many": pa.array([out[1]], pa.binary())})
+
+
+def rarity(texts: DataFrame, k: int, ranges: int) -> Rarity:
+    """Counts the shingles of all texts. What reaches the driver has a fixed size, the two bitmaps."""
+    twice, many = np.zeros(1 << (RARE_BITS - 3), np.uint8), np.zeros(1 << (RARE_BITS - 3), np.uint8)
+    for r in texts.select("text").mapInArrow(lambda it: _tops(it, k, ranges), "r int, x binary").groupBy("r").applyInArrow(_segments, "at long, twice binary, many binary").toLocalIterator():
+        for whole, part in ((twice, r["twice"]), (many, r["many"])):
+            whole[r["at"] : r["at"] + len(part)] |= np.frombuffer(bytes(part), np.uint8)
+    return Rarity(twice, many)
+
+
 class Search:
     """T-occurrence search over one block: documents are added in order of size, each as a query first."""
 
@@ -442,7 +523,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     tmp = Scratch(spark, "ngram-join")
     src = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     known, ranges = src.where("doc_id is not null"), max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = known.mapInArrow(lambda it: _map(it, words, percent, ranges), "r int, kind int, a binary, b binary, c binary")
+    rare = spark.sparkContext.broadcast(rarity(known, words, ranges)) if percent < PARTS_FROM else None
+    packed = known.mapInArrow(lambda it: _map(it, words, percent, ranges, rare and rare.value), "r int, kind int, a binary, b binary, c binary")
     first = tmp.save(packed.groupBy("r").applyInArrow(_reduce, "kind int, a long, b long"), "first")
     docs = first.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n"))
     same, near = (first.where(F.col("kind") == k).select("a", "b") for k in (SAME, NEAR))
@@ -454,7 +536,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     members = tmp.save(members.drop("n").join(sizes, "block"), "members")
     large = members.where(F.col("n") > block).select("doc_id")
     total = members.where(F.col("n") > block).select("block", "n").distinct().agg(F.sum("n")).first()[0]
-    if total:  # documents that share long passages may be one block: sign them again without the shingles that many share
+    if total and not rare:  # documents that share long passages may be one block: sign them again without the shingles that many share
         texts = known.join(_small(large), "doc_id")
         least = max(20, -(-total // FREQUENT))
         counted = texts.select("doc_id", "text").mapInArrow(lambda it: _tokens(it, words, ranges), "r int, x binary, c binary")

@@ -83,6 +83,8 @@ def test_near_duplicates(spark, k, percent, block):
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_signature(percent):
     rng, signs = np.random.default_rng(percent), ngram_join.Signatures(percent)
+    bits = lambda: rng.integers(0, 256, 1 << (ngram_join.RARE_BITS - 3)).astype(np.uint8)
+    rare = ngram_join.Rarity(bits(), bits())
     new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
     for _ in range(300):
         n = int(rng.integers(2, 260))
@@ -99,6 +101,7 @@ def test_linked_sets_share_a_signature(percent):
             continue
         assert len(np.intersect1d(signs.of(a), signs.of(b)))
         assert len(np.intersect1d(signs.of(a, often), signs.of(b, often)))
+        assert len(np.intersect1d(signs.of(a, rare), signs.of(b, rare)))
 
 
 def test_t_occurrence_search():
