@@ -67,7 +67,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.empty(0, U)
     if len(w) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], U)
-    if len(_words) > 1_000_000:
+    if len(_words) > 250_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, w), U, len(w))
     n = len(w) - k + 1

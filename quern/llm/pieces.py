@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CHUNKS = 600_000  #: kept encodings in each Python worker
+CHUNKS = 250_000  #: kept encodings in each Python worker
 ROWS = 256  #: rows encoded at once
 
 
