@@ -207,11 +207,11 @@ def test_markdown():
 
 
 def test_retrieval(spark):
-    docs = [(1, "lab08", "Recovery", "The write ahead log must be flushed before a dirty page is written to disk so that undo is possible."), (2, "lab09", "Raft", "A leader is elected by a majority of the votes of the cluster in each new term."), (3, "lab09", "Vectors", "An index of neighbours walks greedily down the layers of a navigable graph to search.")]
+    docs = [(1, "recovery-notes", "Recovery", "The write ahead log must be flushed before a dirty page is written to disk so that undo is possible."), (2, "cluster-notes", "Raft", "A leader is elected by a majority of the votes of the cluster in each new term."), (3, "cluster-notes", "Vectors", "An index of neighbours walks greedily down the layers of a navigable graph to search.")]
     r = X.Retrieval(spark.createDataFrame(docs, "id long, source string, heading string, text string"))
     assert r.retrieve("Why must the log be flushed before a dirty page is written?", 1).first()["id"] == 1
     a = r.answer("Who is elected leader of the cluster by votes?")
-    assert a["grounded"] and "[1] lab09 / Raft" in a["citations"][0]
+    assert a["grounded"] and "[1] cluster-notes / Raft" in a["citations"][0]
     assert not r.answer("zebra quagga xylophone")["grounded"] and r.retrieve("zebra").count() == 0
     with pytest.raises(ValueError):
         X.Retrieval(r.table.drop("_slots").limit(0))
