@@ -11,10 +11,12 @@
 3. Documents connected by signatures form a block. Long passages that many documents share can connect too many; such large
    blocks are signed again without their most frequent shingles. In each block a T-occurrence search takes every document as a query
    against the earlier ones: DivideSkip sets the longest inverted lists aside, merges the short ones with a heap that skips,
-   and probes the long ones by binary search, until a document reaches its required overlap or cannot any more. Documents
-   already known to be in one group with the query are passed over. Blocks over a limit are cut into chunks, and each pair
-   of chunks is searched, so no task holds more than two chunks.
-4. Links and equal sets give the groups.
+   and probes the long ones by binary search, until a document reaches its required overlap or cannot any more. Where only
+   groups are asked for, documents already known to be in one group with the query are passed over. Where links are asked
+   for, every candidate is verified, by counting its shingles among the query's. Blocks over a limit are cut into chunks,
+   and each pair of chunks is searched, so no task holds more than two chunks.
+4. Links and equal sets give the groups. Links are between representatives of equal sets; documents with the same set count
+   by their number, so pairs of copies are never made.
 
 No candidate is dropped at any step. Set elements are 64-bit hashes, so two different shingles are taken for one with a
 chance of about n*n / 2**65 in n shingles.
@@ -492,19 +494,112 @@ def search_block(docs: list[tuple[int, np.ndarray]], percent: int) -> list[tuple
     return [(low[s.root(i)], doc) for i, (doc, _) in enumerate(docs) if low[s.root(i)] != doc]
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, unit, doc_id, text), each unit's in a row."""
-    now, docs, out = None, [], []
+def all_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, all earlier positions that it links to) among sets in order of size."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, tok, often = np.unique(np.concatenate(sets) if sets else np.empty(0, U), return_inverse=True, return_counts=True)
+    shared = often[tok] > 1  # a shingle of one set alone takes part in no overlap
+    number = np.cumsum(often > 1, dtype=np.int64) - 1
+    doc, tok = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[shared], number[tok[shared]].astype(np.int32)
+    at = np.searchsorted(doc, np.arange(len(sets) + 1))
+    order = np.argsort(tok, kind="stable")
+    post, place = doc[order], np.empty(len(tok), np.int64)
+    place[order] = np.arange(len(tok))
+    lists = np.r_[0, np.cumsum(often[often > 1])]
+    mine = np.zeros(len(lists), np.uint8)
+
+    def gather(x: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return x[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    for q, n in enumerate(sizes.tolist()):
+        own = tok[at[q] : at[q + 1]]
+        lo = lists[own]
+        length = place[at[q] : at[q + 1]] - lo  # of the lists' parts before q
+        least = -(-percent * n // 100)
+        lo, length = lo[length > 0], length[length > 0]
+        if not n or len(lo) < least:
+            continue
+        long = min(int(least / (MU * log2(max(2, length.max())) + 1)), least - 1)
+        short = np.argsort(length, kind="stable")[: len(lo) - long]
+        c = gather(post, lo[short], length[short])
+        if len(c) > q // 8:
+            found = np.flatnonzero(np.bincount(c, minlength=q) >= least - long)
+        else:
+            c, count = np.unique(c, return_counts=True)
+            found = c[count >= least - long]
+        found = found[sizes[found] >= least]
+        mine[own] = 1
+        out, width = [], at[found + 1] - at[found]
+        cuts = np.flatnonzero(np.diff(np.cumsum(width) // FLUSH, prepend=0)) if len(found) else []
+        for i, j in zip([0, *cuts], [*cuts, len(found)]):
+            if i < j:
+                some, n_tok = found[i:j], width[i:j]
+                overlap = np.add.reduceat(mine[gather(tok, at[some], n_tok)], np.cumsum(n_tok) - n_tok, dtype=np.int64)
+                out.append(some[100 * overlap >= percent * (n + sizes[some] - overlap)])
+        mine[own] = 0
+        if out and len(out := np.concatenate(out)):
+            yield q, out
+
+
+GROUP, COUNT, LINK = range(3)
+
+
+def link_block(docs: list[tuple], percent: int, pairs: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, a, b) of a unit's (id, set, chunk, whether its chunk's own pairs count here, weight): the groups as in
+    search_block, the weight of all links of each id, and with `pairs` the links, in runs of bounded size."""
+    docs = sorted({(d[0], d[1].tobytes()): d for d in docs}.values(), key=lambda d: (len(d[1]), d[0]))
+    ids, chunk, weight = (np.array([d[i] for d in docs], np.int64) for i in (0, 2, 4))
+    own = np.array([d[3] for d in docs], bool)
+    total, a, b, held = np.zeros(len(docs), np.int64), [], [], 0
+    up = list(range(len(docs)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for q, found in all_links([d[1] for d in docs], percent):
+        found = found[((chunk[found] != chunk[q]) | own[q]) & (ids[found] != ids[q])]
+        total[q] += weight[found].sum()
+        total[found] += weight[q]
+        for c in found.tolist():
+            c, r = root(c), root(q)
+            if c != r:
+                up[max(c, r)] = min(c, r)
+        if pairs:
+            a.append(np.minimum(ids[found], ids[q]))
+            b.append(np.maximum(ids[found], ids[q]))
+            held += len(found)
+            if held >= FLUSH:
+                yield LINK, np.concatenate(a), np.concatenate(b)
+                a, b, held = [], [], 0
+    if held:
+        yield LINK, np.concatenate(a), np.concatenate(b)
+    low: dict[int, int] = {}
+    for i, doc in enumerate(ids.tolist()):
+        low[root(i)] = min(low.get(root(i), doc), doc)
+    lead = np.array([low[root(i)] for i in range(len(docs))], np.int64)
+    yield GROUP, lead[lead != ids], ids[lead != ids]
+    yield COUNT, ids[total > 0], total[total > 0]
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int, percent: int, links: bool = False, pairs: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (block, unit, doc_id, text, chunk, own, weight), each unit's in a row, to (kind, a, b)."""
+
+    def of(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+        e = [] if links else np.array(search_block([d[:2] for d in docs], percent), np.int64).reshape(-1, 2)
+        for kind, a, b in link_block(docs, percent, pairs) if links else [(GROUP, e[:, 0], e[:, 1])]:
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+    now, docs = None, []
     for batch in batches:
-        for block, unit, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+        for block, unit, doc, text, *more in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(3), *(batch.column(i).to_pylist() for i in (4, 5, 6))):
             if (block, unit) != now:
-                out += search_block(docs, percent)
+                yield from of(docs)
                 now, docs = (block, unit), []
-            docs.append((doc, shingles(text.as_py(), k)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        out = []
-    out = search_block(docs, percent)
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            docs.append((doc, shingles(text.as_py(), k), *more))
+    yield from of(docs)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -512,15 +607,60 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each input row: (doc_id, n_shingles, component_id).
+def _copies(same: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, weight) of the sets that several documents have, and (lead, rep) of all documents that others point to.
+
+    A copy points to its task's first document with the set, and that to the first of all tasks; counts of copies are added up
+    before they are joined, so a set that very many documents have is one row.
+    """
+    up = same.where("a <> b").groupBy("b").agg(F.min("a").alias("a"))
+    counts = up.groupBy("a").agg(F.count("*").alias("n")).join(up.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left").select("a", F.coalesce("top", "a").alias("rep"), "n")
+    return counts.groupBy("rep").agg((F.sum("n") + 1).alias("weight")), counts.select(F.col("a").alias("lead"), "rep")
+
+
+def _members(docs: DataFrame, same: DataFrame) -> DataFrame:
+    """(doc_id, rep): every document and the one whose set it has."""
+    up = same.where("a <> b").groupBy("b").agg(F.min("a").alias("lead"))
+    d = docs.select("doc_id").distinct().join(up.select(F.col("b").alias("doc_id"), "lead"), "doc_id", "left")
+    return d.join(_small(_copies(same)[1]), "lead", "left").select("doc_id", F.coalesce("rep", "lead", "doc_id").alias("rep"))
+
+
+def near_links(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(all links (a, b), a < b, between documents that represent different sets; membership (doc_id, rep)).
+
+    Documents with the same set have one representative: two documents are linked when their representatives are, or when these
+    are one and the set is not empty. There are as many rows as links of different sets.
+    """
+    _, docs, same, found = _join(df, Scratch(df.sparkSession, "ngram-links"), words, percent, id_col, text_col, block, True, True)
+    return found.where(F.col("kind") == LINK).select("a", "b").distinct(), _members(docs, same)
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, links: bool = False) -> DataFrame:
+    """One row for each input row: (doc_id, n_shingles, component_id), and with `links` its n_links.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct shingles of `words` words; component_id
-    is the smallest doc_id that links reach. Empty and null texts have no shingles and no links. Rows that repeat an id count
-    as one document, linked by either text. A row with a null id has its size and a null component.
+    is the smallest doc_id that links reach, and n_links the number of other documents that a document links to, copies among
+    them. Empty and null texts have no shingles and no links. Rows that repeat an id count as one document, linked by either
+    text; where such texts differ, a document that both link to may count twice in n_links. A row with a null id has its size
+    and null for the others.
     """
+    tmp = Scratch(df.sparkSession, "ngram-join")
+    src, docs, same, found = _join(df, tmp, words, percent, id_col, text_col, block, links)
+    roots = connected_components(found.where(F.col("kind") == GROUP).select("a", "b").unionByName(same), tmp, "groups").withColumnRenamed("node", "doc_id")
+    out = docs.join(roots, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    lost = src.where("doc_id is null")
+    size = lost.mapInArrow(lambda it: _sizes(it, words), "doc_id long, n_shingles long, component_id long")
+    if links:
+        far = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("far"))
+        of = far.join(_copies(same)[0], "rep", "full").select("rep", (F.coalesce("far", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"))
+        own = _members(docs, same).join(_small(of), "rep", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        out, size = out.join(own, "doc_id"), size.withColumn("n_links", F.lit(None).cast("long"))
+    return out.unionByName(size)
+
+
+def _join(df: DataFrame, tmp: Scratch, words: int, percent: int, id_col: str, text_col: str, block: int, links: bool, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, documents with sizes, pairs with equal sets, what _search found)."""
     spark = df.sparkSession
-    tmp = Scratch(spark, "ngram-join")
     src = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
     known, ranges = src.where("doc_id is not null"), max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rare = spark.sparkContext.broadcast(rarity(known, words, ranges)) if percent < PARTS_FROM else None
@@ -552,17 +692,19 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     chunks = F.greatest(F.lit(2), F.ceil(F.col("n") / (block / 2)).cast("int"))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine"))).alias("other")
-    whole = members.where(F.col("n") <= block).select("doc_id", "block", F.lit(0).alias("unit"))
+    whole = members.where(F.col("n") <= block).select("doc_id", "block", F.lit(0).alias("unit"), F.lit(0).alias("chunk"), F.lit(True).alias("own"))
     cut = members.where(F.col("n") > block).withColumn("chunks", chunks).withColumn("mine", mine).select("doc_id", "block", "chunks", "mine", other)
-    cut = cut.select("doc_id", "block", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("unit"))
-    units = known.join(_small(whole.unionByName(cut)), "doc_id").select("block", "unit", "doc_id", "text")
+    first_unit = (F.least("mine", "other") == 0) & ((F.col("mine") != 0) | (F.col("other") == 1))  # the one of a chunk's units where its own pairs count
+    cut = cut.select("doc_id", "block", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("unit"), F.col("mine").alias("chunk"), first_unit.alias("own"))
+    units = whole.unionByName(cut)
+    if links:
+        units = units.join(_copies(same)[0].withColumnRenamed("rep", "doc_id"), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+    else:
+        units = units.withColumn("weight", F.lit(1))
+    units = known.join(_small(units), "doc_id").select("block", "unit", "doc_id", "text", "chunk", "own", F.col("weight").cast("long").alias("weight"))
     units = units.repartition("block", "unit").sortWithinPartitions("block", "unit")
-    links = tmp.save(units.mapInArrow(lambda it: _search(it, words, percent), "a long, b long"), "links")
-    roots = connected_components(links.unionByName(same), tmp, "groups").withColumnRenamed("node", "doc_id")
-    out = docs.join(roots, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    lost = src.where("doc_id is null")
-    size = lost.mapInArrow(lambda it: _sizes(it, words), "doc_id long, n_shingles long, component_id long")
-    return out.unionByName(size)
+    found = tmp.save(units.mapInArrow(lambda it: _search(it, words, percent, links, pairs), "kind int, a long, b long"), "links")
+    return src, docs, same, found
 
 
 def _sizes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90)
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_ngram_join with each document's number of links, a column that the SQL of op1_ngram_join doesn't have."""
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=90, links=True)
+
+
 #: The public model; its path is a parameter of op2_pieces, and of the environment.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -59,7 +64,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_pieces": op2_pieces, "op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op5_license_scans": op5_license_scans, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
+    return {"op1_ngram_join": op1_ngram_join, "op1_ngram_links": op1_ngram_links, "op2_pieces": op2_pieces, "op3_url_filters": op3_url_filters, "op4_quality_rules": op4_quality_rules, "op5_license_scans": op5_license_scans, "op6_pii": op6_pii, "op7_exact_dedup": op7_exact_dedup, "op8_quality_classifier": op8_quality_classifier, "op9_secret_scans": op9_secret_scans, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
