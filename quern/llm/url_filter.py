@@ -1,7 +1,8 @@
 """URL filters: host and path rules first, then a weighted vocabulary that an Aho-Corasick automaton counts.
 
 strict terms reject alone; soft terms reject when `soft_limit` different ones occur. A term counts only between
-boundaries: no ASCII letter or digit may touch it. Both lists are parameters; the default is a small list of our own.
+boundaries: no ASCII letter or digit may touch it. Both lists are parameters. The default is a general
+vocabulary of adult, gambling, drug, piracy and fraud words: strict ones hardly occur in harmless urls, soft ones do.
 """
 
 from collections.abc import Iterator
@@ -10,8 +11,17 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-STRICT = ("porn", "xxx", "hentai", "camgirls", "escorts", "sexcam", "warez", "keygen", "phishing", "malware")
-SOFT = ("adult", "sex", "nude", "casino", "poker", "betting", "lottery", "jackpot", "viagra", "cialis", "loans", "payday", "torrent", "crack", "serial", "hookup", "dating", "replica", "bonus", "vape")
+STRICT = tuple("""porn porno pornstar pornhub xxx xnxx xvideos hentai milf nsfw camgirl camgirls camsex sexcam sexcams sexchat sexshop escort escorts callgirls striptease erotic erotica bdsm upskirt incest
+gambling bets sportsbook bookmaker bookmakers blackjack roulette baccarat
+viagra cialis levitra xanax tramadol phentermine kamagra pills
+warez keygen keygens nulled crackz serialz
+spam spammer spammers phishing malware spyware ransomware botnet carding fullz""".split())
+SOFT = tuple("""adult adults sex sexy nude nudes naked hot fetish hookup hookups dating singles swingers strip webcam webcams cams
+casino casinos poker betting bet lottery lotto jackpot slots bingo wager odds bonus spins
+pharmacy pharma drugs meds prescription steroids weightloss diet cbd vape
+loans loan payday forex binary crypto profit earn rich cash prize winner
+torrent torrents crack cracked serial hack hacks cheats proxy
+replica cheap discount clickbait backlinks""".split())
 #: (verdict, host, path): a rule fits its host and all subdomains, where the url's path starts with the rule's.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
