@@ -237,9 +237,13 @@ _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 7)"
 
 
 def _query(spark, d, *ids):
-    """The given vectors, or as a stated query set those whose id is divisible by 20."""
-    e = _t(spark, d, "embeddings")
-    return {r["vec_id"]: [float(x) for x in r["embedding"]] for r in e.where(F.col("vec_id").isin(*ids) if ids else F.col("vec_id") % 20 == 0).limit(V.MAX_QUERIES + 1).collect()}
+    """The given vectors."""
+    return {r["vec_id"]: [float(x) for x in r["embedding"]] for r in _t(spark, d, "embeddings").where(F.col("vec_id").isin(*ids)).collect()}
+
+
+def _query_set(spark, d):
+    """A stated query set, as a table: the vectors whose id is divisible by 20."""
+    return _t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 @q("sl6_knn_cosine", f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[])), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
@@ -262,7 +266,7 @@ SELECT qid, rank, vec_id FROM (
   SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) AS rank
   FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 5""")
 def knn_batch(spark, d):
-    return V.knn_batch(_t(spark, d, "embeddings"), _query(spark, d), 5).select("qid", F.col("rank").cast("long").alias("rank"), "vec_id")
+    return V.knn_batch(_t(spark, d, "embeddings"), _query_set(spark, d), 5).select("qid", F.col("rank").cast("long").alias("rank"), "vec_id")
 
 
 #: (lists, passes, probes) of sl11; on vectors without clear clusters fewer probes lose over a tenth of the true neighbours.
@@ -271,25 +275,25 @@ LISTS = (16, 5, 12)
 
 @q("sl11_inverted_lists")
 def ivf(spark, d):
-    return V.InvertedLists(*LISTS[:2]).build(_t(spark, d, "embeddings")).search(_query(spark, d), 10, LISTS[2])
+    return V.InvertedLists(*LISTS[:2]).build(_t(spark, d, "embeddings")).search(_query_set(spark, d), 10, LISTS[2])
 
 
 @q("sl12_graph_index")
 def hnsw(spark, d):
-    return V.graph_search(_t(spark, d, "embeddings"), _query(spark, d), 10, partitions=4)
+    return V.graph_search(_t(spark, d, "embeddings"), _query_set(spark, d), 10, partitions=4)
 
 
 @q("ag20_index_recall")
 def index_recall(spark, d):
     """The mean recall of what sl11 and sl12 register; ag20_recall probes all lists, which must lose nothing."""
-    truth = V.knn_batch(_t(spark, d, "embeddings"), _query(spark, d), 10)
+    truth = V.knn_batch(_t(spark, d, "embeddings"), _query_set(spark, d), 10)
     mean = lambda name, found: V.recall(found, truth).agg(F.lit(name).alias("query"), F.avg("recall").alias("recall"))
     return mean("sl11_inverted_lists", ivf(spark, d)).unionByName(mean("sl12_graph_index", hnsw(spark, d)))
 
 
 @q("ag20_recall", "SELECT vec_id AS qid, CAST(1 AS DOUBLE) AS recall FROM embeddings WHERE vec_id % 20 = 0")
 def recall(spark, d):
-    e, qs = _t(spark, d, "embeddings"), _query(spark, d)
+    e, qs = _t(spark, d, "embeddings"), _query_set(spark, d)
     return V.recall(V.InvertedLists(16, 3).build(e).search(qs, 10, 16), V.knn_batch(e, qs, 10))
 
 
