@@ -4,7 +4,8 @@ A paragraph is a line. Its words and pairs of words are features of a sparse mul
 families and an unknown class. The regression is trained on the driver: positives are cuts and noisy copies of the templates
 below, negatives are made-up prose and sentences that speak of licences without granting one. A temperature is fitted on
 held-out examples, and the least probability for a family is set there, so that almost no unknown example passes. A family
-counts only where enough of the paragraph's pairs of words are pairs of that family's templates, among them an anchor.
+counts only where enough of the paragraph's pairs of words are pairs of that family's templates. A notice that is wrapped is
+several paragraphs, each judged by what it says alone.
 """
 
 import re
@@ -32,8 +33,6 @@ TEMPLATES = {
 }
 #: Sentences that speak of licences and grant none (fixed values).
 NEGATIVES = ("The driver must show a valid driving licence on request", "The city will not renew the liquor license of the club", "Her license plate was found near the road", "The committee discussed which license to choose", "He was licensed as a doctor in the spring", "The apache helicopter landed near the base", "Students at MIT built a small robot", "The gnu is a large animal of the savanna", "All seats are reserved for members", "Permission was granted to leave the room", "The warranty on the car is over", "A fishing licence costs ten euro a year", "Copyright law was the topic of the lecture", "The public domain of the river is wide", "You may not use this door", "The software was free of charge for a year", "Terms and conditions apply to this offer", "Redistribution of income was the aim of the tax")
-#: A paragraph without one of these holds no template's notice (fixed values).
-ANCHOR = r"(?i)(?<![a-z0-9])(?:licen[cs]e|licen[cs]ed|licenses|spdx|permission|redistribut|copyright|rights reserved|public domain|public license|cc0|cc by|cc-by|gpl|lgpl|agpl|mpl|apache|confidential|proprietary|may not be published)"
 FAMILIES = tuple(TEMPLATES)
 STOP = frozenset("a an and any are as at be by for from if in is it its of on one or that the this to was were which with you not may all no has her his he".split())
 
@@ -51,6 +50,25 @@ def _pairs(family: str) -> list[str]:
     return sorted({g for s in TEMPLATES[family] for g in grams(s) if " " in g})
 
 
+@lru_cache(maxsize=1)
+def gate() -> str:
+    """A regex of all templates' pairs of words, but those of two stop words: a paragraph without one can't be confirmed."""
+    tree: dict = {}
+    for f in FAMILIES:
+        for a, b in (g.split() for g in _pairs(f)):
+            if not {a, b} <= STOP:
+                at = tree
+                for c in f"{a} {b}$":
+                    at = at.setdefault(c, {})
+    sign = {" ": "[^a-zA-Z0-9]+", "$": "(?![a-zA-Z0-9])"}
+
+    def regex(t: dict) -> str:
+        some = [sign.get(c, c) + (regex(u) if u else "") for c, u in sorted(t.items())]
+        return some[0] if len(some) == 1 else f"(?:{'|'.join(some)})"
+
+    return "(?i)(?<![a-zA-Z0-9])" + regex(tree)
+
+
 def vocabulary() -> list[str]:
     every = set().union(*(grams(s) for group in TEMPLATES.values() for s in group), *(grams(s) for s in NEGATIVES))
     return sorted(g for g in every if g not in STOP)
@@ -126,7 +144,7 @@ def train(n: int = 3000, seed: int = 5, steps: int = 200, l1: float = 2e-4, fals
 def judge(line: str) -> tuple[str | None, float]:
     """(family or None, probability) of one paragraph: what scan() computes, in Python, for tests."""
     vocab, w, b, t, least = train()
-    if not re.search(ANCHOR, line):
+    if not re.search(gate(), line, re.ASCII):
         return None, 0.0
     p = _softmax((_matrix([(line, 0)], list(vocab)) @ w + b) / t)[0]
     k = int(p[:-1].argmax())
@@ -136,11 +154,11 @@ def judge(line: str) -> tuple[str | None, float]:
 
 
 def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, lines): lines is an array of the paragraphs that hold an anchor, each with its number from 0."""
+    """(doc_id, text, lines): lines is an array of the paragraphs that share a pair of words with a template, each with its number from 0."""
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), x.alias("p")))
     d = df.select(df[id_col].alias("doc_id"), text_of(text_col).alias("text"))
     kind = "array<struct<line:int,p:string>>"
-    return d.select("doc_id", "text", F.when(F.col("text").rlike(ANCHOR), F.filter(lines, lambda x: x["p"].rlike(ANCHOR))).otherwise(F.array().cast(kind)).alias("lines"))
+    return d.select("doc_id", "text", F.when(F.col("text").rlike(gate()), F.filter(lines, lambda x: x["p"].rlike(gate()))).otherwise(F.array().cast(kind)).alias("lines"))
 
 
 def _scores(idx: Column) -> list[Column]:
@@ -155,8 +173,8 @@ def _scores(idx: Column) -> list[Column]:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: (doc_id, n_paragraphs, found); found is an array of (line, family, probability) by line.
 
-    Null and empty texts have no paragraphs. Every paragraph is judged, and nothing is shuffled: paragraphs with an anchor are
-    scored inside their row, and those without are unknown, as no template can confirm them.
+    Null and empty texts have no paragraphs. Every paragraph is judged, and nothing is shuffled: paragraphs that share a
+    pair of words with a template are scored inside their row, and the others are unknown, as no template can confirm them.
     """
     vocab, _, _, _, least = train()
     d = paragraphs(df, id_col, text_col)
