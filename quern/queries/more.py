@@ -20,7 +20,7 @@ from ..session import table as _t
 from ..sources import files
 from ..sources.scratch import Scratch
 from . import Theme
-from .data import _chunks, _coll, _orders, _points, _query
+from .data import _chunks, _coll, _orders, _points, _query, _questions
 
 q = Theme()
 
@@ -163,12 +163,11 @@ def ag17(spark, d):
 
 @q("ag21_hit_at_k")
 def ag21(spark, d):
-    r, first = X.Retrieval(_chunks(spark, d)), _t(spark, d, "benchmark").orderBy("item_id").limit(2).collect()
-    out = None
-    for row in first:
-        one = r.retrieve(" ".join(row["text"].split()[:10])).select(F.lit(str(row["item_id"])).alias("question"), F.col("id").cast("string").alias("source"))
-        out = one if out is None else out.unionByName(one)
-    return X.hits(out, spark.createDataFrame([(str(x["item_id"]), str(x["item_id"])) for x in first], "question string, expected string"))
+    asked = _questions(spark, d, 10)
+    found = X.Retrieval(_chunks(spark, d)).retrieve_table(asked).select(F.col("question_id").alias("question"), F.col("id").alias("source"))
+    all_hits = X.hits(found, asked.select(F.col("question_id").alias("question"), F.col("question_id").alias("expected")))
+    every = asked.select(F.col("question_id").alias("question")).join(all_hits, "question", "left")  # one without known words is no hit
+    return every.select(F.col("question").cast("string").alias("question"), F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 @q("ag25_tenant_counts", "SELECT o_orderstatus AS tenant, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL")
@@ -190,9 +189,7 @@ def sl8(spark, d):
 
 @q("sl14_answer")
 def sl14(spark, d):
-    first = _t(spark, d, "benchmark").orderBy("item_id").first()["text"]
-    a = X.Retrieval(_chunks(spark, d)).answer(" ".join(first.split()[:12]))
-    return spark.createDataFrame([(a["grounded"], len(a["citations"]))], "grounded boolean, citations int")
+    return X.Retrieval(_chunks(spark, d)).answer_table(_questions(spark, d, 12)).select("question_id", "grounded", F.size("citations").alias("citations"))
 
 
 @q("sl15_merged_runs", "SELECT o_orderkey FROM orders ORDER BY o_orderkey")
