@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: the word rule, span finding in SQL functions, and tables in the shared folder.
 
 Null text counts as empty everywhere. Input frames may have further columns: each operator takes the columns that it needs
-by name into a frame of its own, so that names never clash.
+by name into a frame of its own, and one that returns whole rows adds columns under names that `fresh` finds to be free.
 """
 
 import atexit
@@ -29,10 +29,21 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where it is unset (tests on one machine) a temporary one is made and set."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one is made and set on a local master (tests), and
+    anything else is an error: executors would not see each other's files."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         sc.setCheckpointDir(at)

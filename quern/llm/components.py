@@ -1,12 +1,14 @@
 """Connected components of an edge table, by joins: small stars with pointer jumping, a table in the shared folder each round."""
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
-def connected_components(edges: DataFrame, tmp: Scratch, name: str = "cc", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tmp: Scratch, name: str = "cc") -> DataFrame:
     """(node, root) for every node that isn't the smallest of its component; edges are (a, b) longs.
 
     Each edge points from its larger to its smaller end. A round moves each node's edges to its smallest neighbour m, and
@@ -14,7 +16,7 @@ def connected_components(edges: DataFrame, tmp: Scratch, name: str = "cc", round
     A node groups only its smaller neighbours, so the hub of a large star, being its smallest node, is never a group.
     """
     e = tmp.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    for k in range(1, rounds):
+    for k in count(1):
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         jump = low.select(F.col("u").alias("v"), F.col("m").alias("to"))
@@ -24,4 +26,3 @@ def connected_components(edges: DataFrame, tmp: Scratch, name: str = "cc", round
         nodes = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
         if nodes["n"] == nodes["d"] and e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

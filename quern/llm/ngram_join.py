@@ -1,22 +1,20 @@
-"""N-gram Jaccard join: documents whose sets of word shingles overlap enough, and the groups that such links form.
-
-1. Each document becomes a sorted set of 64-bit shingle hashes. Documents with the same set meet by a 128-bit fingerprint.
-2. Signatures, of which any two linked documents share at least one, tell which documents can be linked at all. Below PARTS_FROM
-   percent they are a set's rarest shingles, as many as it could miss and one: two linked sets share one of them. All shingles
-   are counted for that, into two bitmaps of a fixed size. At higher thresholds no counts are needed: a set of
-   over SMALL shingles is cut into d + 1 parts or more, by hash range, where d is the largest number of shingles in which
-   two linked sets of that size class differ: at least one part then agrees. Smaller sets use pairs of their lowest
-   shingles (two linked sets share two of them). Signatures travel as packed arrays; equal ones inside a task are joined
-   there, so a signature that a third of all documents have reaches its reducer once for each task.
-3. Documents connected by signatures form a block. Long passages that many documents share can connect too many; such large
-   blocks are signed again without their most frequent shingles. In each block a T-occurrence search takes every document as a query
-   against the earlier ones: DivideSkip sets the longest inverted lists aside, merges the short ones with a heap that skips,
-   and probes the long ones by binary search, until a document reaches its required overlap or cannot any more. Where only
-   groups are asked for, documents already known to be in one group with the query are passed over. Where links are asked
-   for, every candidate is verified, by counting its shingles among the query's. Blocks over a limit are cut into chunks,
-   and each pair of chunks is searched, so no task holds more than two chunks.
-4. Links and equal sets give the groups. Links are between representatives of equal sets; documents with the same set count
-   by their number, so pairs of copies are never made.
+"""N-gram Jaccard join: documents whose sets of word shingles overlap enough, their links and the groups that links form.
+
+1. Each document becomes a sorted set of 64-bit shingle hashes, read once. Its size, a 128-bit fingerprint of the set and its
+   signatures are written as a table; documents with the same fingerprint have one representative from there on.
+2. Any two linked sets share a signature. Below PARTS_FROM percent these are a set's rarest shingles, as many as it could miss
+   and one; all shingles are counted for that, into two bitmaps. At higher thresholds no counts are needed: a set of over SMALL
+   shingles is cut into d + 1 parts or more, by hash range, where d is the largest number of shingles in which two linked sets of
+   that size class differ: at least one part then agrees. Smaller sets use pairs of their lowest shingles (two linked sets share
+   two of them). Signatures are plain rows from here on, so Spark combines, spills and splits them: a signature's smallest
+   document is an aggregate, and documents are joined to it.
+3. Documents that signatures connect are a block. Long passages that many documents share can connect too many; blocks over a
+   limit are signed again without their most frequent shingles. What is over it still is cut into chunks by size class, since
+   linked sets lie in one class or in neighbouring ones, and each pair of such chunks is a unit: no task holds more than two.
+4. In each unit a T-occurrence search takes every set as a query against the smaller ones. DivideSkip sets the longest inverted
+   lists aside, merges the short ones by a heap that skips, and probes the long ones by binary search, until a set reaches its
+   required overlap or cannot any more. Every candidate is verified, so every link between different sets is counted.
+5. Links give the groups. Documents with the same set count by their number, so pairs of copies are never made.
 
 No candidate is dropped at any step. Set elements are 64-bit hashes, so two different shingles are taken for one with a
 chance of about n*n / 2**65 in n shingles.
@@ -25,7 +23,6 @@ chance of about n*n / 2**65 in n shingles.
 import bisect
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 from math import exp, log2
 
 import numpy as np
@@ -34,16 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 from .components import connected_components
 
 SMALL = 48
-FLUSH = 1_000_000  #: signatures that a task holds before it joins and sends them
-FREQUENT = 1_000_000  #: shingles that are left out of the signatures of large blocks, at most
-BLOCK = 8_000_000  #: shingles of a block that one task takes
-HEAP = 20_000  #: postings up to which short lists are merged by a heap; more are merged by sorting them
+ROWS = 2_000  #: documents that a task signs before it sends their rows
+HELD = 1_000_000  #: shingles that a task holds before it counts and sends them
+FREQUENT = 1_000_000  #: shingles that are left out of the signatures of large blocks, at most: 8 MB
+BLOCK = 2_000_000  #: shingles of a unit that one task searches
+HEAP = 20_000  #: postings of a query's short lists up to which a heap merges them; more are merged as sorted runs by numpy
+FEW = 16  #: candidates up to which all long lists are probed at once
 PARTS_FROM = 90  #: percent from which sets are signed by parts, and below which by their rarest shingles
-BROADCAST_ROWS = 1_000_000  #: of (doc_id, block, unit), up to which texts outside all blocks are left out without a shuffle
+BROADCAST_ROWS = 200_000  #: of three or four longs, up to which a side of a join is broadcast
 MU = 0.0085  #: DivideSkip's weight of the longest list's length
 U = np.uint64
 
@@ -69,7 +68,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.empty(0, U)
     if len(w) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], U)
-    if len(_words) > 250_000:
+    if len(_words) > 100_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, w), U, len(w))
     n = len(w) - k + 1
@@ -173,149 +172,57 @@ class Signatures:
         return key[~weak], key[weak] if weak.sum() > spare else None
 
 
-def _stars(keys: np.ndarray, ids: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions of each key's smallest id, edges' smaller ends, larger ends) of equal keys."""
-    order = np.lexsort((ids, keys) if more is None else (ids, more, keys))
-    k, i = keys[order], ids[order]
-    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.empty(0, bool)
-    if more is not None and len(k):
-        m = more[order]
-        new |= np.r_[True, m[1:] != m[:-1]]
-    first = np.flatnonzero(new)
-    lead = i[first][np.cumsum(new) - 1] if len(k) else i
-    rest = ~new & (lead != i)
-    return order[first], lead[rest], i[rest]
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect the same nodes, at most one for each node, towards the smallest."""
-    if not len(a):
-        return a, b
-    e = np.unique(np.stack([a, b], 1), axis=0)
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        top = x
-        while (y := up.get(top, top)) != top:
-            top = y
-        while (y := up.get(x, x)) != top and y != x:
-            up[x], x = top, y
-        return top
-
-    for x, y in e.tolist():
-        x, y = root(x), root(y)
-        if x != y:
-            up[max(x, y)] = min(x, y)
-    out = [(root(x), x) for x in list(up)]
-    return np.array([x for x, _ in out], np.int64), np.array([x for _, x in out], np.int64)
-
-
-DOC, SAME, NEAR, SIGNS, PRINTS = range(5)
-_ROWS = pa.schema([("r", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-
-
-def _map(batches: Iterator[pa.RecordBatch], k: int, percent: int, ranges: int, frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Packed rows of (range, kind, arrays): documents, edges found inside the task, signatures and fingerprints."""
+def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int, order: "np.ndarray | Rarity | None" = None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n, hi, lo, sigs): a set's size, fingerprint and signatures; of equal sets in a run of rows one has the signatures."""
     signs = Signatures(percent)
-    seen: dict[bytes, int] = {}
-    docs, same, prints, held, count = [], [], [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal docs, same, prints, held, count
-        rows = []
-
-        def pack(kind: int, where: np.ndarray, *cols: np.ndarray) -> None:
-            order = np.argsort(where, kind="stable")
-            where = where[order]
-            at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else []
-            for i, j in zip(at, [*at[1:], len(where)]):
-                rows.append((int(where[i]), kind, *(c[order[i:j]].tobytes() for c in cols), *[b""] * (3 - len(cols))))
-
-        spread = lambda x: (x % ranges).astype(np.int64)
-        top = lambda x: ((x >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
-        ids, n = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64)
-        pack(DOC, spread(ids), ids, n)
-        if same:
-            e = np.array(same, np.int64)
-            pack(SAME, spread(e[:, 1]), e[:, 0], e[:, 1])
-        if prints:
-            lo, hi, who = np.array([p[0] for p in prints], U), np.array([p[1] for p in prints], U), np.array([p[2] for p in prints], np.int64)
-            pack(PRINTS, top(lo), lo, hi, who)
-        if held:
-            keys = np.concatenate([s for s, _ in held])
-            who = np.repeat(np.array([d for _, d in held], np.int64), [len(s) for s, _ in held])
-            first, a, b = _stars(keys, who)
-            a, b = _forest(a, b)
-            pack(NEAR, spread(b), a, b)
-            pack(SIGNS, top(keys[first]), keys[first], who[first])
-        docs, same, prints, held, count = [], [], [], [], 0
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROWS)], schema=_ROWS)
-
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = shingles(text.as_py(), k)
-            docs.append((doc, len(s)))
-            if len(s):
-                fp = xxhash.xxh3_128_digest(s.tobytes())
-                lead = seen.setdefault(fp, doc)
-                if lead == doc:
-                    prints.append((int.from_bytes(fp[:8], "big"), int.from_bytes(fp[8:], "big"), doc))
-                    sig = signs.of(s, frequent)
-                    held.append((sig, doc))
-                    count += len(sig)
-                else:
-                    same.append((lead, doc))
-            if count >= FLUSH or len(docs) >= FLUSH // 8:
-                yield flush()
-    yield flush()
-
-
-def _reduce(t: pa.Table) -> pa.Table:
-    """(kind, a, b) of one range: documents with their sizes, pairs with equal sets, pairs that share a signature."""
-    by: dict[int, list] = {}
-    for kind, *cols in zip(*(t[c].to_pylist() for c in ("kind", "a", "b", "c"))):
-        by.setdefault(kind, []).append(cols)
-    cat = lambda kind, i, dtype: np.frombuffer(b"".join(r[i] for r in by.get(kind, ())), dtype)
-    out = [(DOC, cat(DOC, 0, np.int64), cat(DOC, 1, np.int64))]
-    _, a, b = _stars(cat(PRINTS, 0, U), cat(PRINTS, 2, np.int64), cat(PRINTS, 1, U))
-    out.append((SAME, np.r_[cat(SAME, 0, np.int64), a], np.r_[cat(SAME, 1, np.int64), b]))
-    _, a, b = _stars(cat(SIGNS, 0, U), cat(SIGNS, 1, np.int64))
-    out.append((NEAR, *_forest(np.r_[cat(NEAR, 0, np.int64), a], np.r_[cat(NEAR, 1, np.int64), b])))
-    return pa.table({"kind": pa.array(np.repeat([k for k, _, _ in out], [len(a) for _, a, _ in out]).astype(np.int32)), "a": pa.array(np.concatenate([a for _, a, _ in out])), "b": pa.array(np.concatenate([b for _, _, b in out]))})
-
-
-def _tokens(batches: Iterator[pa.RecordBatch], k: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Packed (range, shingles, counts), counted inside the task."""
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            n, hi, lo, sigs, seen = [], [], [], [], set()
+            for text in part.column(1):
+                s = shingles(text.as_py(), k)
+                fp = xxhash.xxh3_128_intdigest(s.tobytes())
+                n.append(len(s))
+                hi.append(fp >> 64)
+                lo.append(fp & 0xFFFFFFFFFFFFFFFF)
+                sigs.append(signs.of(s, order) if len(s) and fp not in seen else np.empty(0, U))
+                seen.add(fp)
+            ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
+            cols = [part.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, U).view(np.int64)) for x in (hi, lo)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "hi", "lo", "sigs"])
+
+
+def _edges(sigs: DataFrame) -> DataFrame:
+    """(a, b) of (rep, sigs): documents and the smallest one that shares a signature with them."""
+    flat = sigs.select("rep", F.explode("sigs").alias("sig"))
+    lead = flat.groupBy("sig").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("sig", "a")
+    return flat.join(lead, "sig").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[np.ndarray]:
+    """Sorted shingles of many documents at a time; each document has each of its shingles once."""
     held, n = [], 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal held, n
-        x, c = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
-        where = ((x >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
-        at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(x) else []
-        rows = [(int(where[i]), x[i:j].tobytes(), c[i:j].astype(np.int64).tobytes()) for i, j in zip(at, [*at[1:], len(x)])]
-        held, n = [], 0
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["r", "x", "c"])
-
     for batch in batches:
-        for text in batch.column(1):
+        for text in batch.column(0):
             held.append(shingles(text.as_py(), k))
             n += len(held[-1])
-            if n >= FLUSH:
-                yield flush()
-    yield flush()
+            if n >= HELD:
+                yield np.sort(np.concatenate(held))
+                held, n = [], 0
+    if n:
+        yield np.sort(np.concatenate(held))
 
 
-def _frequent(t: pa.Table, least: int) -> pa.Table:
-    x, c = np.frombuffer(b"".join(t["x"].to_pylist()), U), np.frombuffer(b"".join(t["c"].to_pylist()), np.int64)
-    u, back = np.unique(x, return_inverse=True)
-    total = np.bincount(back, weights=c) if len(u) else np.empty(0)
-    return pa.table({"x": pa.array(u[total >= least].view(np.int64))})
+def _counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(x, c): shingles with their counts inside a run."""
+    for x in _runs(batches, k):
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(x)]))], names=["x", "c"])
 
 
-RARE_BITS = 27  #: a fixed 16 MB for each of the two bitmaps of shingles that are in two documents, and in MANY
+RARE_BITS = (20, 28)  #: least and most of the bits that index the two bitmaps; 28 are 32 MB each
 MANY = 32
+RANGE = 4_000_000  #: shingles that one group of the count takes, as an average
 
 
 class Rarity:
@@ -323,47 +230,34 @@ class Rarity:
     a bit share its answer, which makes an order of shingles a little less good and never wrong."""
 
     def __init__(self, twice: np.ndarray, many: np.ndarray):
-        self.bits = (twice, many)
+        self.bits, self.log = (twice, many), len(twice).bit_length() + 2
 
     def rank(self, s: np.ndarray) -> np.ndarray:
         """0, 1 or 2 for shingles of one, some and many documents."""
-        i = s >> U(64 - RARE_BITS)
+        i = s >> U(64 - self.log)
         at, bit = (i >> U(3)).astype(np.int64), (i & U(7)).astype(np.uint8)
         return sum((b[at] >> bit) & 1 for b in self.bits)
 
 
-def _cut(x: np.ndarray, ranges: int) -> np.ndarray:
+def _cut(x: np.ndarray, log: int, ranges: int) -> np.ndarray:
     """The range of each hash, so that a range is a run of bytes of the bitmaps."""
-    return ((x >> U(64 - RARE_BITS + 3)) * U(ranges) >> U(RARE_BITS - 3)).astype(np.int64)
+    return ((x >> U(64 - log + 3)) * U(ranges) >> U(log - 3)).astype(np.int64)
 
 
-def _tops(batches: Iterator[pa.RecordBatch], k: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Packed (range, top 32 bits of shingles); each document has each of its shingles once."""
-    held, n = [], 0
+def _tops(batches: Iterator[pa.RecordBatch], k: int, log: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Packed (range, top 32 bits of shingles)."""
+    for x in _runs(batches, k):
+        where = _cut(x, log, ranges)
+        at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
+        top = (x >> U(32)).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(where[at].astype(np.int32)), pa.array([top[i:j].tobytes() for i, j in zip(at, [*at[1:], len(x)])], pa.binary())], names=["r", "x"])
 
-    def flush() -> pa.RecordBatch:
-        nonlocal held, n
-        x = np.sort(np.concatenate(held)) if held else np.empty(0, U)
-        where = _cut(x, ranges)
-        at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(x) else []
-        rows = [(int(where[i]), (x[i:j] >> U(32)).astype(np.uint32).tobytes()) for i, j in zip(at, [*at[1:], len(x)])]
-        held, n = [], 0
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["r", "x"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            held.append(shingles(text.as_py(), k))
-            n += len(held[-1])
-            if n >= 2 * FLUSH:
-                yield flush()
-    yield flush()
-
-
-def _segments(t: pa.Table) -> pa.Table:
-    """(first byte, bytes of the one bitmap, of the other) of one range: its share of a fixed size."""
+def _segments(t: pa.Table, log: int) -> pa.Table:
+    """(first byte, bytes of the one bitmap, of the other) of one range."""
     x = np.sort(np.frombuffer(b"".join(t["x"].to_pylist()), np.uint32))
     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.empty(0, np.int64)
-    count, x = np.diff(np.r_[first, len(x)]), x[first] >> (32 - RARE_BITS)
+    count, x = np.diff(np.r_[first, len(x)]), x[first] >> (32 - log)
     lo, hi = (int(x[0]) >> 3, int(x[-1]) >> 3) if len(x) else (0, 0)
     out = []
     for least in (2, MANY):
@@ -373,233 +267,178 @@ def _segments(t: pa.Table) -> pa.Table:
     return pa.table({"at": pa.array([lo], pa.int64()), "twice": pa.array([out[0]], pa.binary()), "many": pa.array([out[1]], pa.binary())})
 
 
-def rarity(texts: DataFrame, k: int, ranges: int) -> Rarity:
-    """Counts the shingles of all texts. What reaches the driver has a fixed size, the two bitmaps."""
-    twice, many = np.zeros(1 << (RARE_BITS - 3), np.uint8), np.zeros(1 << (RARE_BITS - 3), np.uint8)
-    for r in texts.select("text").mapInArrow(lambda it: _tops(it, k, ranges), "r int, x binary").groupBy("r").applyInArrow(_segments, "at long, twice binary, many binary").toLocalIterator():
+def rarity(texts: DataFrame, k: int) -> Rarity:
+    """Counts the shingles of all texts. Groups and bitmaps follow the counted characters, and the bitmaps have a largest size."""
+    words = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 5 + 1
+    log = min(max(RARE_BITS[0], (4 * words).bit_length()), RARE_BITS[1])
+    ranges = min(max(64, words // RANGE), 1 << (log - 3))
+    twice, many = np.zeros(1 << (log - 3), np.uint8), np.zeros(1 << (log - 3), np.uint8)
+    parts = texts.select("text").mapInArrow(lambda it: _tops(it, k, log, ranges), "r int, x binary").groupBy("r").applyInArrow(lambda t: _segments(t, log), "at long, twice binary, many binary")
+    for r in parts.toLocalIterator():  # the two bitmaps, piece by piece
         for whole, part in ((twice, r["twice"]), (many, r["many"])):
             whole[r["at"] : r["at"] + len(part)] |= np.frombuffer(bytes(part), np.uint8)
     return Rarity(twice, many)
 
 
-class Search:
-    """T-occurrence search over one block: documents are added in order of size, each as a query first."""
-
-    def __init__(self, percent: int):
-        self.t = percent
-        self.lists: dict[int, list[int]] = {}
-        self.sizes: list[int] = []
-        self.up: list[int] = []
-        self.groups = 0
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def need(self, n: int, m: int) -> int:
-        return -(-self.t * (n + m) // (100 + self.t))
-
-    def add(self, tokens: list[int], size: int | None = None) -> None:
-        """`size` is the whole set's; tokens may leave out those that no other document of the block has."""
-        q = len(self.sizes)
-        self.sizes.append(len(tokens) if size is None else size)
-        self.up.append(q)
-        self.groups += 1
-        if q and tokens:
-            self._query(q, tokens)
-        for x in tokens:
-            got = self.lists.get(x)
-            if got is None:
-                self.lists[x] = [q]
-            else:
-                got.append(q)
-
-    def _join(self, q: int, c: int) -> bool:
-        """Links q and c; True when no other group is left."""
-        a, b = self.root(q), self.root(c)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.groups -= 1
-        return self.groups == 1
-
-    def _query(self, q: int, tokens: list[int]) -> None:
-        n = self.sizes[q]
-        least = -(-self.t * n // 100)  # the overlap that the smallest partner needs; sizes only grow from query to query
-        lists = [x for x in map(self.lists.get, tokens) if x is not None]
-        if len(lists) < least:
-            return
-        lists.sort(key=len, reverse=True)
-        long = min(int(least / (MU * log2(max(2, len(lists[0]))) + 1)), least - 1)
-        short, lists = lists[long:], lists[:long]
-        want = least - long
-        found = self._heap(short, want) if sum(map(len, short)) <= HEAP else self._sorted(short, want)
-        for c, count in found:
-            if self.root(c) == self.root(q):
-                continue
-            need = self.need(n, self.sizes[c])
-            left = long
-            for x in lists:
-                if count >= need or count + left < need:
-                    break
-                at = bisect.bisect_left(x, c)
-                count += at < len(x) and x[at] == c
-                left -= 1
-            if count >= need and self._join(q, c):
+class Index:
+    """Inverted lists of sets in order of size, each list's documents ascending, as two arrays."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        _, tok, often = np.unique(np.concatenate(sets) if sets else np.empty(0, U), return_inverse=True, return_counts=True)
+        shared = often[tok] > 1  # a shingle of one set alone takes part in no overlap
+        number = np.cumsum(often > 1, dtype=np.int64) - 1
+        doc, tok = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[shared], number[tok[shared]]
+        order = np.argsort(tok, kind="stable")
+        self.posts, place = doc[order], np.empty(len(tok), np.int64)
+        place[order] = np.arange(len(tok))
+        start = np.r_[0, np.cumsum(often[often > 1])]
+        self.at = np.searchsorted(doc, np.arange(len(sets) + 1))
+        self.low, self.length = start[tok], place - start[tok]  # of each set's shingles: the list, and its part before the set
+
+    def lists(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, lengths) of the lists of a set's shingles, as far as smaller sets are in them; shortest first."""
+        low, n = self.low[self.at[q] : self.at[q + 1]], self.length[self.at[q] : self.at[q + 1]]
+        low, n = low[n > 0], n[n > 0]
+        order = np.argsort(n, kind="stable")
+        return low[order], n[order]
+
+
+def heap_merge(lists: list[list[int]], want: int) -> Iterator[tuple[int, int]]:
+    """(document, count) of those in `want` lists or more, smallest first; lists that cannot take part are skipped ahead."""
+    heap = [(x[0], i, 0) for i, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) >= want:
+        c, popped = heap[0][0], []
+        while heap and heap[0][0] == c:
+            popped.append(heapq.heappop(heap))
+        if len(popped) >= want:
+            yield c, len(popped)
+            to = c + 1
+        else:
+            while heap and len(popped) < want - 1:
+                popped.append(heapq.heappop(heap))
+            if not heap:
                 return
+            to = heap[0][0]
+        for _, i, at in popped:
+            at = bisect.bisect_left(lists[i], to, at)
+            if at < len(lists[i]):
+                heapq.heappush(heap, (lists[i][at], i, at))
 
-    @staticmethod
-    def _heap(lists: list[list[int]], want: int) -> Iterator[tuple[int, int]]:
-        """(document, count) of those in `want` lists or more, smallest first; lists that cannot take part are skipped ahead."""
-        heap = [(x[0], i, 0) for i, x in enumerate(lists)]
-        heapq.heapify(heap)
-        while len(heap) >= want:
-            c, popped = heap[0][0], []
-            while heap and heap[0][0] == c:
-                popped.append(heapq.heappop(heap))
-            if len(popped) >= want:
-                yield c, len(popped)
-                to = c + 1
-            else:
-                while heap and len(popped) < want - 1:
-                    popped.append(heapq.heappop(heap))
-                if not heap:
-                    return
-                to = heap[0][0]
-            for _, i, at in popped:
-                at = bisect.bisect_left(lists[i], to, at)
-                if at < len(lists[i]):
-                    heapq.heappush(heap, (lists[i][at], i, at))
 
-    @staticmethod
-    def _sorted(lists: list[list[int]], want: int) -> Iterator[tuple[int, int]]:
-        ids, counts = np.unique(np.fromiter(chain.from_iterable(lists), np.int64), return_counts=True)
-        some = counts >= want
-        return zip(ids[some].tolist(), counts[some].tolist())
-
-
-def search_block(docs: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Pairs (smallest id of a group, other id) of the groups that links form among (id, set)."""
-    docs = sorted(docs, key=lambda d: (len(d[1]), d[0]))
-    s = Search(percent)
-    every = np.sort(np.concatenate([t for _, t in docs])) if docs else np.empty(0, U)
-    both = every[1:][every[1:] == every[:-1]]
-    for _, tokens in docs:
-        shared = tokens[both[np.minimum(np.searchsorted(both, tokens), len(both) - 1)] == tokens] if len(both) else both
-        s.add(shared.tolist(), len(tokens))
-    low: dict[int, int] = {}
-    for i, (doc, _) in enumerate(docs):
-        r = s.root(i)
-        low[r] = min(low.get(r, doc), doc)
-    return [(low[s.root(i)], doc) for i, (doc, _) in enumerate(docs) if low[s.root(i)] != doc]
-
-
-def all_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(position, all earlier positions that it links to) among sets in order of size."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    _, tok, often = np.unique(np.concatenate(sets) if sets else np.empty(0, U), return_inverse=True, return_counts=True)
-    shared = often[tok] > 1  # a shingle of one set alone takes part in no overlap
-    number = np.cumsum(often > 1, dtype=np.int64) - 1
-    doc, tok = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)[shared], number[tok[shared]].astype(np.int32)
-    at = np.searchsorted(doc, np.arange(len(sets) + 1))
-    order = np.argsort(tok, kind="stable")
-    post, place = doc[order], np.empty(len(tok), np.int64)
-    place[order] = np.arange(len(tok))
-    lists = np.r_[0, np.cumsum(often[often > 1])]
-    mine = np.zeros(len(lists), np.uint8)
-
-    def gather(x: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return x[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+def run_merge(posts: np.ndarray, low: np.ndarray, n: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """heap_merge() of lists that hold very many postings: a stable sort, which merges the runs that it finds."""
+    x = np.sort(posts[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], kind="stable")
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    count = np.diff(np.r_[first, len(x)])
+    return x[first[count >= want]].astype(np.int64), count[count >= want]
 
+
+def links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, all earlier positions that it links to) among sets in order of size: DivideSkip's T-occurrence search."""
+    index = Index(sets)
+    posts, sizes = index.posts, index.sizes
     for q, n in enumerate(sizes.tolist()):
-        own = tok[at[q] : at[q + 1]]
-        lo = lists[own]
-        length = place[at[q] : at[q + 1]] - lo  # of the lists' parts before q
-        least = -(-percent * n // 100)
-        lo, length = lo[length > 0], length[length > 0]
-        if not n or len(lo) < least:
+        least = -(-percent * n // 100)  # the overlap that the smallest partner needs
+        low, length = index.lists(q)
+        if not n or len(low) < least:
+            continue
+        long = min(int(least / (MU * log2(max(2, int(length[-1]))) + 1)), least - 1)
+        cut, want = len(low) - long, least - long
+        if length[:cut].sum() <= HEAP:
+            found = list(heap_merge([posts[i : i + m].tolist() for i, m in zip(low[:cut].tolist(), length[:cut].tolist())], want))
+            if not found:
+                continue
+            c, count = (np.array(x, np.int64) for x in zip(*found))
+        else:
+            c, count = run_merge(posts, low[:cut], length[:cut], want)
+        need = -(-percent * (n + sizes[c]) // (100 + percent))
+        some = (sizes[c] >= least) & (count + long >= need)
+        c, count, need = c[some], count[some], need[some]
+        if not len(c):
             continue
-        long = min(int(least / (MU * log2(max(2, length.max())) + 1)), least - 1)
-        short = np.argsort(length, kind="stable")[: len(lo) - long]
-        c = gather(post, lo[short], length[short])
-        if len(c) > q // 8:
-            found = np.flatnonzero(np.bincount(c, minlength=q) >= least - long)
+        if len(c) <= FEW:  # few candidates: their probes of all long lists in step, each halving its own range
+            lo, hi = (np.repeat(x[cut:, None], len(c), 1) for x in (low, low + length))
+            end = hi.copy()
+            for _ in range(int(length[-1]).bit_length()):
+                mid = (lo + hi) >> 1
+                less = (posts[np.minimum(mid, len(posts) - 1)] < c) & (lo < hi)
+                lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            count = count + ((lo < end) & (posts[np.minimum(lo, len(posts) - 1)] == c)).sum(0)
         else:
-            c, count = np.unique(c, return_counts=True)
-            found = c[count >= least - long]
-        found = found[sizes[found] >= least]
-        mine[own] = 1
-        out, width = [], at[found + 1] - at[found]
-        cuts = np.flatnonzero(np.diff(np.cumsum(width) // FLUSH, prepend=0)) if len(found) else []
-        for i, j in zip([0, *cuts], [*cuts, len(found)]):
-            if i < j:
-                some, n_tok = found[i:j], width[i:j]
-                overlap = np.add.reduceat(mine[gather(tok, at[some], n_tok)], np.cumsum(n_tok) - n_tok, dtype=np.int64)
-                out.append(some[100 * overlap >= percent * (n + sizes[some] - overlap)])
-        mine[own] = 0
-        if out and len(out := np.concatenate(out)):
-            yield q, out
+            left = long
+            for i, m in zip(low[cut:].tolist(), length[cut:].tolist()):
+                x = posts[i : i + m]
+                at = np.searchsorted(x, c)
+                count = count + (x[np.minimum(at, m - 1)] == c)
+                left -= 1
+                if left % 16 == 0 and not (alive := count + left >= need).all():
+                    c, count, need = c[alive], count[alive], need[alive]
+        c = c[count >= need]
+        if len(c):
+            yield q, c
 
 
 GROUP, COUNT, LINK = range(3)
 
 
-def link_block(docs: list[tuple], percent: int, pairs: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, a, b) of a unit's (id, set, chunk, whether its chunk's own pairs count here, weight): the groups as in
-    search_block, the weight of all links of each id, and with `pairs` the links, in runs of bounded size."""
+def search_unit(docs: list[tuple], cross: bool, percent: int, pairs: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, a, b) of a unit's (id, set, chunk, weight): groups as (smallest id, id), each id's weight of links, and with `pairs`
+    the links, in runs of bounded size. In a unit of two chunks only links between the two count."""
     docs = sorted({(d[0], d[1].tobytes()): d for d in docs}.values(), key=lambda d: (len(d[1]), d[0]))
-    ids, chunk, weight = (np.array([d[i] for d in docs], np.int64) for i in (0, 2, 4))
-    own = np.array([d[3] for d in docs], bool)
-    total, a, b, held = np.zeros(len(docs), np.int64), [], [], 0
-    up = list(range(len(docs)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
-        return i
-
-    for q, found in all_links([d[1] for d in docs], percent):
-        found = found[((chunk[found] != chunk[q]) | own[q]) & (ids[found] != ids[q])]
+    ids, chunk, weight = (np.array([d[i] for d in docs], np.int64) for i in (0, 2, 3))
+    total, up, a, b, held = np.zeros(len(docs), np.int64), np.arange(len(docs)), [], [], 0
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        r = up[x]
+        while (up[r] != r).any():
+            r = up[r]
+        up[x] = r
+        return r
+
+    for q, found in links([d[1] for d in docs], percent):
+        found = found[ids[found] != ids[q]]
+        if cross:
+            found = found[chunk[found] != chunk[q]]
         total[q] += weight[found].sum()
         total[found] += weight[q]
-        for c in found.tolist():
-            c, r = root(c), root(q)
-            if c != r:
-                up[max(c, r)] = min(c, r)
+        tops = np.unique(roots(np.r_[found, q]))
+        up[tops] = tops[0]
         if pairs:
             a.append(np.minimum(ids[found], ids[q]))
             b.append(np.maximum(ids[found], ids[q]))
             held += len(found)
-            if held >= FLUSH:
+            if held >= HELD:
                 yield LINK, np.concatenate(a), np.concatenate(b)
                 a, b, held = [], [], 0
     if held:
         yield LINK, np.concatenate(a), np.concatenate(b)
-    low: dict[int, int] = {}
-    for i, doc in enumerate(ids.tolist()):
-        low[root(i)] = min(low.get(root(i), doc), doc)
-    lead = np.array([low[root(i)] for i in range(len(docs))], np.int64)
-    yield GROUP, lead[lead != ids], ids[lead != ids]
-    yield COUNT, ids[total > 0], total[total > 0]
+    if len(docs):
+        top, smallest = roots(np.arange(len(docs))), np.full(len(docs), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, top, ids)
+        yield GROUP, smallest[top][smallest[top] != ids], ids[smallest[top] != ids]
+        yield COUNT, ids[total > 0], total[total > 0]
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, percent: int, links: bool = False, pairs: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (block, unit, doc_id, text, chunk, own, weight), each unit's in a row, to (kind, a, b)."""
+def _search(batches: Iterator[pa.RecordBatch], k: int, percent: int, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (block, unit, doc_id, lo, text, chunk, weight), each unit's in a row, to (kind, a, b)."""
 
-    def of(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
-        e = [] if links else np.array(search_block([d[:2] for d in docs], percent), np.int64).reshape(-1, 2)
-        for kind, a, b in link_block(docs, percent, pairs) if links else [(GROUP, e[:, 0], e[:, 1])]:
+    def of(docs: list[tuple], unit: str) -> Iterator[pa.RecordBatch]:
+        for kind, a, b in search_unit(docs, "-" in unit, percent, pairs):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
 
-    now, docs = None, []
+    now, docs = (None, ""), []
     for batch in batches:
-        for block, unit, doc, text, *more in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), batch.column(3), *(batch.column(i).to_pylist() for i in (4, 5, 6))):
+        for block, unit, doc, lo, text, chunk, weight in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), *(batch.column(i).to_pylist() for i in (5, 6))):
             if (block, unit) != now:
-                yield from of(docs)
+                yield from of(docs, now[1])
                 now, docs = (block, unit), []
-            docs.append((doc, shingles(text.as_py(), k), *more))
-    yield from of(docs)
+            s = shingles(text.as_py(), k)
+            if xxhash.xxh3_128_intdigest(s.tobytes()) & 0xFFFFFFFFFFFFFFFF == lo & 0xFFFFFFFFFFFFFFFF:  # else another text of this id
+                docs.append((doc, s, chunk, weight))
+    yield from of(docs, now[1])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -607,114 +446,121 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _copies(same: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rep, weight) of the sets that several documents have, and (lead, rep) of all documents that others point to.
-
-    A copy points to its task's first document with the set, and that to the first of all tasks; counts of copies are added up
-    before they are joined, so a set that very many documents have is one row.
-    """
-    up = same.where("a <> b").groupBy("b").agg(F.min("a").alias("a"))
-    counts = up.groupBy("a").agg(F.count("*").alias("n")).join(up.select(F.col("b").alias("a"), F.col("a").alias("top")), "a", "left").select("a", F.coalesce("top", "a").alias("rep"), "n")
-    return counts.groupBy("rep").agg((F.sum("n") + 1).alias("weight")), counts.select(F.col("a").alias("lead"), "rep")
+def _units(members: DataFrame, signs: Signatures, block: int) -> DataFrame:
+    """(doc_id, lo, block, unit, chunk) of (doc_id, lo, n, block, total). A block within the limit is one unit; a larger one is cut
+    by size class and hash, and its units are chunks alone and pairs of chunks of one class or of neighbouring classes."""
+    whole = members.where(F.col("total") <= block).select("doc_id", "lo", "block", F.lit("0").alias("unit"), F.lit(0).cast("long").alias("chunk"))
+    bounds, at = [], 1
+    while at < 1 << 40:
+        bounds.append(at)
+        at = signs.largest(at) + 1
+    cls = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("n")))
+    large = members.where(F.col("total") > block).select("doc_id", "lo", "block", "n", cls.alias("c"))
+    per = large.groupBy("block", "c").agg(F.ceil(F.sum("n") / (block / 2)).cast("int").alias("k"))
+    per = per.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks"))  # as many entries as size classes
+    cut = large.join(_small(per), "block").withColumn("h", F.pmod(F.xxhash64("doc_id", "lo"), F.element_at("ks", F.col("c"))).cast("int"))
+    name = lambda c, h: F.concat(c.cast("string"), F.lit(":"), h.cast("string"))
+    count = lambda c: F.coalesce(F.try_element_at("ks", c), F.lit(0))
+    upto = lambda c: F.when(count(c) > 0, F.sequence(F.lit(0), count(c) - 1)).otherwise(F.array().cast("array<int>"))
+    own, c = name(F.col("c"), F.col("h")), F.col("c")
+    pair = lambda a, b: F.concat(a, F.lit("-"), b)
+    same = F.transform(F.filter(upto(c), lambda x: x != F.col("h")), lambda x: pair(name(c, F.least(x, F.col("h"))), name(c, F.greatest(x, F.col("h")))))
+    above = F.transform(upto(c + 1), lambda x: pair(own, name(c + 1, x)))
+    below = F.transform(upto(c - 1), lambda x: pair(name(c - 1, x), own))
+    cut = cut.select("doc_id", "lo", "block", F.explode(F.concat(F.array(own), same, above, below)).alias("unit"), (c.cast("long") * (1 << 32) + F.col("h")).alias("chunk"))
+    return whole.unionByName(cut)
+
+
+class Joined:
+    """What a join found: `signed` (doc_id, n, hi, lo) of all rows, `copies` (hi, lo, rep, weight) of sets that several documents
+    have, and `found` (kind, a, b) between representatives."""
+
+    def __init__(self, df: DataFrame, tmp: Scratch, words: int, percent: int, id_col: str, text_col: str, block: int, pairs: bool = False):
+        spark = df.sparkSession
+        src = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+        rare = spark.sparkContext.broadcast(rarity(src, words)) if percent < PARTS_FROM else None
+        schema = "doc_id long, n long, hi long, lo long, sigs array<long>"
+        signed = tmp.save(src.mapInArrow(lambda it: _signed(it, words, percent, rare and rare.value), schema), "signed")
+        known = signed.where("doc_id is not null and n > 0")
+        sets = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sigs").alias("sigs"), F.count("*").alias("rows"))
+        sets = tmp.save(sets, "sets")
+        self.signed = signed.drop("sigs")
+        weight = known.join(_small(sets.where("rows > 1").select("hi", "lo", "rep")), ["hi", "lo"]).select("hi", "lo", "rep", "doc_id").distinct().groupBy("hi", "lo", "rep").agg(F.count("*").alias("weight"))
+        self.copies = tmp.save(weight, "copies")
+        members = tmp.save(self._blocks(_edges(sets.select("rep", "sigs")), sets, tmp, "blocks"), "members")
+        large = members.where(F.col("total") > block)
+        total = large.agg(F.sum("n")).first()[0]
+        if total and not rare:  # documents that share long passages may be one block: sign them again without the shingles that many share
+            texts = src.join(_small(large.select("doc_id").distinct()), "doc_id")
+            least = max(20, -(-total // FREQUENT))
+            counted = texts.select("text").mapInArrow(lambda it: _counts(it, words), "x long, c long").groupBy("x").agg(F.sum("c").alias("c"))
+            often = np.sort(np.array([r["x"] for r in counted.where(F.col("c") >= least).select("x").collect()], np.int64).view(U))  # FREQUENT at most
+            frequent = spark.sparkContext.broadcast(often)
+            again = texts.mapInArrow(lambda it: _signed(it, words, percent, frequent.value), schema).groupBy("hi", "lo").agg(F.max("sigs").alias("sigs"))
+            again = tmp.save(again.join(sets.select("hi", "lo", "rep"), ["hi", "lo"]).select("rep", "sigs"), "again")
+            finer = self._blocks(_edges(again), sets, tmp, "finer").join(_small(large.select("doc_id").distinct()), "doc_id", "left_semi")
+            members = tmp.save(members.where(F.col("total") <= block).unionByName(finer), "finer-members")
+        units = _units(members, Signatures(percent), block)
+        units = units.join(_small(self.copies.select(F.col("rep").alias("doc_id"), "lo", "weight")), ["doc_id", "lo"], "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
+        units = src.join(_small(units), "doc_id").select("block", "unit", "doc_id", "lo", "text", "chunk", "weight")
+        units = units.repartition("block", "unit").sortWithinPartitions("block", "unit")
+        self.found = tmp.save(units.mapInArrow(lambda it: _search(it, words, percent, pairs), "kind int, a long, b long"), "found")
 
+    @staticmethod
+    def _blocks(edges: DataFrame, sets: DataFrame, tmp: Scratch, name: str) -> DataFrame:
+        """(doc_id, lo, n, block, total) of the representatives that edges connect; total is the block's number of shingles."""
+        found = connected_components(edges, tmp, name)
+        nodes = found.select(F.col("node").alias("rep"), F.col("root").alias("block")).unionByName(found.select(F.col("root").alias("rep"), F.col("root").alias("block")).distinct())
+        rows = sets.select("rep", "lo", "n").join(_small(nodes), "rep").select(F.col("rep").alias("doc_id"), "lo", "n", "block")
+        return rows.join(_small(rows.groupBy("block").agg(F.sum("n").alias("total"))), "block").select("doc_id", "lo", "n", "block", "total")
 
-def _members(docs: DataFrame, same: DataFrame) -> DataFrame:
-    """(doc_id, rep): every document and the one whose set it has."""
-    up = same.where("a <> b").groupBy("b").agg(F.min("a").alias("lead"))
-    d = docs.select("doc_id").distinct().join(up.select(F.col("b").alias("doc_id"), "lead"), "doc_id", "left")
-    return d.join(_small(_copies(same)[1]), "lead", "left").select("doc_id", F.coalesce("rep", "lead", "doc_id").alias("rep"))
+    def members(self) -> DataFrame:
+        """The rows of `signed` with rep (the smallest document that has the set) and weight (the documents that have it)."""
+        d = self.signed.join(_small(self.copies), ["hi", "lo"], "left")
+        return d.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("n") > 0, F.coalesce("weight", F.lit(1))).otherwise(1).alias("weight"))
 
 
 def near_links(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(all links (a, b), a < b, between documents that represent different sets; membership (doc_id, rep)).
 
     Documents with the same set have one representative: two documents are linked when their representatives are, or when these
-    are one and the set is not empty. There are as many rows as links of different sets.
+    are one and the set is not empty. There are as many rows as links of different sets. Null ids have no part in either; an
+    empty table gives two empty ones, and further columns of any name are not read.
     """
-    _, docs, same, found = _join(df, Scratch(df.sparkSession, "ngram-links"), words, percent, id_col, text_col, block, True, True)
-    return found.where(F.col("kind") == LINK).select("a", "b").distinct(), _members(docs, same)
+    j = Joined(df, Scratch(df.sparkSession, "ngram-links"), words, percent, id_col, text_col, block, True)
+    return j.found.where(F.col("kind") == LINK).select("a", "b").distinct(), j.members().where("doc_id is not null").select("doc_id", "rep").distinct()
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, links: bool = False) -> DataFrame:
-    """One row for each input row: (doc_id, n_shingles, component_id), and with `links` its n_links.
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row for each input row: (doc_id, n_shingles, component_id, n_links).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct shingles of `words` words; component_id
     is the smallest doc_id that links reach, and n_links the number of other documents that a document links to, copies among
     them. Empty and null texts have no shingles and no links. Rows that repeat an id count as one document, linked by either
-    text; where such texts differ, a document that both link to may count twice in n_links. A row with a null id has its size
-    and null for the others.
+    text; where such texts differ, n_links of a row counts the links of its own text. A row with a null id has its size and null
+    for the others. A text of any length is one set. An empty table gives an empty one, and further columns of any name are
+    not read.
     """
     tmp = Scratch(df.sparkSession, "ngram-join")
-    src, docs, same, found = _join(df, tmp, words, percent, id_col, text_col, block, links)
-    roots = connected_components(found.where(F.col("kind") == GROUP).select("a", "b").unionByName(same), tmp, "groups").withColumnRenamed("node", "doc_id")
-    out = docs.join(roots, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
-    lost = src.where("doc_id is null")
-    size = lost.mapInArrow(lambda it: _sizes(it, words), "doc_id long, n_shingles long, component_id long")
-    if links:
-        far = found.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("far"))
-        of = far.join(_copies(same)[0], "rep", "full").select("rep", (F.coalesce("far", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"))
-        own = _members(docs, same).join(_small(of), "rep", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-        out, size = out.join(own, "doc_id"), size.withColumn("n_links", F.lit(None).cast("long"))
-    return out.unionByName(size)
-
-
-def _join(df: DataFrame, tmp: Scratch, words: int, percent: int, id_col: str, text_col: str, block: int, links: bool, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows, documents with sizes, pairs with equal sets, what _search found)."""
-    spark = df.sparkSession
-    src = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    known, ranges = src.where("doc_id is not null"), max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rare = spark.sparkContext.broadcast(rarity(known, words, ranges)) if percent < PARTS_FROM else None
-    packed = known.mapInArrow(lambda it: _map(it, words, percent, ranges, rare and rare.value), "r int, kind int, a binary, b binary, c binary")
-    first = tmp.save(packed.groupBy("r").applyInArrow(_reduce, "kind int, a long, b long"), "first")
-    docs = first.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n"))
-    same, near = (first.where(F.col("kind") == k).select("a", "b") for k in (SAME, NEAR))
-    blocks = connected_components(near.unionByName(same), tmp, "blocks")
-    nodes = blocks.select(F.col("node").alias("doc_id"), F.col("root").alias("block")).unionByName(blocks.select("root").distinct().select(F.col("root").alias("doc_id"), F.col("root").alias("block")))
-    copies = same.select(F.col("b").alias("doc_id")).distinct()
-    members = nodes.join(copies, "doc_id", "left_anti").join(docs.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
-    sizes = members.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where("docs > 1")
-    members = tmp.save(members.drop("n").join(sizes, "block"), "members")
-    large = members.where(F.col("n") > block).select("doc_id")
-    total = members.where(F.col("n") > block).select("block", "n").distinct().agg(F.sum("n")).first()[0]
-    if total and not rare:  # documents that share long passages may be one block: sign them again without the shingles that many share
-        texts = known.join(_small(large), "doc_id")
-        least = max(20, -(-total // FREQUENT))
-        counted = texts.select("doc_id", "text").mapInArrow(lambda it: _tokens(it, words, ranges), "r int, x binary, c binary")
-        often = np.sort(np.array([r["x"] for r in counted.groupBy("r").applyInArrow(lambda t: _frequent(t, least), "x long").collect()], np.int64).view(U))
-        again = texts.select("doc_id", "text").mapInArrow(lambda it: _map(it, words, percent, ranges, often), "r int, kind int, a binary, b binary, c binary")
-        finer = tmp.save(again.groupBy("r").applyInArrow(_reduce, "kind int, a long, b long"), "finer").where(F.col("kind") != DOC).select("a", "b")
-        parts = connected_components(finer, tmp, "parts")
-        nodes = parts.select(F.col("node").alias("doc_id"), F.col("root").alias("block")).unionByName(parts.select("root").distinct().select(F.col("root").alias("doc_id"), F.col("root").alias("block")))
-        nodes = nodes.join(large, "doc_id", "left_semi").join(docs.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
-        sizes = nodes.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).where("docs > 1")
-        members = members.where(F.col("n") <= block).unionByName(nodes.drop("n").join(sizes, "block").select(*members.columns))
-        members = tmp.save(members, "finer-members")
-    chunks = F.greatest(F.lit(2), F.ceil(F.col("n") / (block / 2)).cast("int"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("mine"))).alias("other")
-    whole = members.where(F.col("n") <= block).select("doc_id", "block", F.lit(0).alias("unit"), F.lit(0).alias("chunk"), F.lit(True).alias("own"))
-    cut = members.where(F.col("n") > block).withColumn("chunks", chunks).withColumn("mine", mine).select("doc_id", "block", "chunks", "mine", other)
-    first_unit = (F.least("mine", "other") == 0) & ((F.col("mine") != 0) | (F.col("other") == 1))  # the one of a chunk's units where its own pairs count
-    cut = cut.select("doc_id", "block", (F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other")).alias("unit"), F.col("mine").alias("chunk"), first_unit.alias("own"))
-    units = whole.unionByName(cut)
-    if links:
-        units = units.join(_copies(same)[0].withColumnRenamed("rep", "doc_id"), "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-    else:
-        units = units.withColumn("weight", F.lit(1))
-    units = known.join(_small(units), "doc_id").select("block", "unit", "doc_id", "text", "chunk", "own", F.col("weight").cast("long").alias("weight"))
-    units = units.repartition("block", "unit").sortWithinPartitions("block", "unit")
-    found = tmp.save(units.mapInArrow(lambda it: _search(it, words, percent, links, pairs), "kind int, a long, b long"), "links")
-    return src, docs, same, found
-
-
-def _sizes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [len(shingles(t.as_py(), k)) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(0)], names=["doc_id", "n_shingles", "component_id"])
+    j = Joined(df, tmp, words, percent, id_col, text_col, block)
+    several = j.signed.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x <> y").select("doc_id")
+    m = tmp.save(j.members(), "rows")
+    twice = m.where("n > 0").join(_small(several), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))  # one id with different texts
+    roots = connected_components(j.found.where(F.col("kind") == GROUP).select("a", "b").unionByName(twice), tmp, "groups")
+    far = j.found.where(F.col("kind") == COUNT).groupBy("a").agg(F.sum("b").alias("far"))
+    known = tmp.save(roots.select(F.col("node").alias("rep"), "root").join(far.select(F.col("a").alias("rep"), "far"), "rep", "full"), "known")
+    out = m.join(_small(known), "rep", "left")
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("far", F.lit(0)) + F.col("weight") - 1).otherwise(0)).cast("long").alias("n_links"),
+    )
 
 
 def drop_near_copies(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose document is the first of its group, with all their columns; rows with a null id stay."""
-    g = Scratch(df.sparkSession, "near-copies").save(near_duplicates(df, words, percent, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(g) if g.count() <= 200_000 else g
-    return df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
+    """The rows of df whose document is the first of its group, with all their columns; rows with a null id stay, and so do empty
+    and null texts and all rows of a repeated id that stays. Column names of df never clash with those used here."""
+    g = Scratch(df.sparkSession, "near-copies").save(near_duplicates(df, words, percent, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = _small(g.toDF(fresh(df, "gone")))
+    return df.join(gone, df[id_col].cast("long") == gone[gone.columns[0]], "left_anti")

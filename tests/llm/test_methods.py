@@ -73,7 +73,7 @@ def near_rows(seed, lengths):
     return out
 
 
-@pytest.mark.parametrize("k,percent,block", [(3, 90, ngram_join.BLOCK), (5, 80, ngram_join.BLOCK), (5, 80, 3000)])
+@pytest.mark.parametrize("k,percent,block", [(3, 90, ngram_join.BLOCK), (3, 90, 2000), (5, 80, ngram_join.BLOCK), (5, 80, 3000)])
 def test_near_duplicates(spark, k, percent, block):
     rows = near_rows(3, (3, 5, 8, 15, 29, 31, 36, 60, 200))
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k, percent, block=block)
@@ -83,7 +83,7 @@ def test_near_duplicates(spark, k, percent, block):
 @pytest.mark.parametrize("percent", [80, 90])
 def test_linked_sets_share_a_signature(percent):
     rng, signs = np.random.default_rng(percent), ngram_join.Signatures(percent)
-    bits = lambda: rng.integers(0, 256, 1 << (ngram_join.RARE_BITS - 3)).astype(np.uint8)
+    bits = lambda: rng.integers(0, 256, 1 << 17).astype(np.uint8)
     rare = ngram_join.Rarity(bits(), bits())
     new = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
     for _ in range(300):
@@ -108,8 +108,23 @@ def test_t_occurrence_search():
     rng = np.random.default_rng(0)
     lists = [sorted(set(rng.integers(0, 60, rng.integers(1, 40)).tolist())) for _ in range(30)]
     count = collections.Counter(x for ids in lists for x in ids)
+    posts, n = np.concatenate(lists), np.array([len(x) for x in lists])
     for want in (1, 2, 5, 12, 25):
-        assert dict(ngram_join.Search._heap(lists, want)) == dict(ngram_join.Search._sorted(lists, want)) == {x: c for x, c in count.items() if c >= want}
+        runs = ngram_join.run_merge(posts, np.cumsum(n) - n, n, want)
+        assert dict(ngram_join.heap_merge(lists, want)) == dict(zip(*map(np.ndarray.tolist, runs))) == {x: c for x, c in count.items() if c >= want}
+
+
+@pytest.mark.parametrize("heap,few", [(10**9, 0), (0, 10**9)])
+def test_long_lists_are_probed(monkeypatch, heap, few):
+    """Both merges and both ways of probing find the links that counting finds."""
+    monkeypatch.setattr(ngram_join, "HEAP", heap)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    rng = np.random.default_rng(1)
+    bases = [rng.integers(0, 2**63, 150, dtype=np.uint64) for _ in range(4)]
+    sets = sorted((np.unique(np.r_[b[rng.random(150) > 0.06], rng.integers(0, 2**63, 4, dtype=np.uint64)]) for b in bases for _ in range(25)), key=len)
+    got = {(int(c), q) for q, found in ngram_join.links(sets, 85) for c in found}
+    same = {(i, j): len(np.intersect1d(sets[i], sets[j])) for j in range(100) for i in range(j)}
+    assert got == {(i, j) for (i, j), o in same.items() if 100 * o >= 85 * (len(sets[i]) + len(sets[j]) - o)} and len(got) > 100
 
 
 # ---- pieces
