@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+BROADCAST_ROWS = 200_000  #: of two longs
 
 def connected_components(edges: DataFrame, tmp: Scratch, name: str = "cc") -> DataFrame:
     """(node, root) for every node that isn't the smallest of its component; edges are (a, b) longs.
@@ -17,11 +18,13 @@ def connected_components(edges: DataFrame, tmp: Scratch, name: str = "cc") -> Da
     """
     e = tmp.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     for k in count(1):
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = tmp.save(e.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low-{k}")
         moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         jump = low.select(F.col("u").alias("v"), F.col("m").alias("to"))
+        jump = F.broadcast(jump) if low.count() <= BROADCAST_ROWS else jump  # most edges of a large group share one v
         n = tmp.save(moved.join(jump, "v", "left").select("u", F.coalesce("to", "v").alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-{k}")
         tmp.drop(f"{name}-{k - 1}")
+        tmp.drop(f"{name}-low-{k}")
         e = n
         nodes = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("d")).first()
         if nodes["n"] == nodes["d"] and e.select("v").distinct().join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
