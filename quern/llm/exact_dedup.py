@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 QUOTIENT_BITS = 24
 BROADCAST_ROWS = 1_000_000  #: of 8-byte fingerprints; with more, the join shuffles
@@ -111,27 +111,32 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _with_sha(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+def _with_sha(batches: Iterator[pa.RecordBatch], at: int, name: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sha = pa.array([hashlib.sha256((t.as_py() or "").encode().lower()).digest() for t in b.column(at)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*b.columns, sha], names=[*b.schema.names, "_sha"])
+        yield pa.RecordBatch.from_arrays([*b.columns, sha], names=[*b.schema.names, name])
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns; of rows that repeat both id and text, one stays."""
+    """The rows of df that stay, with all their columns, whatever their names; of rows that repeat both id and text, one stays.
+
+    Null and empty texts are equal, so one of them stays; a null id stays only where its group has no other. An empty table gives
+    an empty one.
+    """
     tmp = Scratch(df.sparkSession, "drop-copies")
-    g = tmp.save(exact_groups(df, id_col, text_col).where("group_size > 1"), "groups").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_key"), "kept")
-    gone = tmp.save(g.where("not kept").select("_id", "_key").distinct(), "gone")
-    twice = tmp.save(g.where("kept").groupBy("_id", "_key").agg(F.count("*").alias("c")).where("c > 1").select("_id", "_key"), "twice")
-    schema = T.StructType([*df.schema.fields, T.StructField("_sha", T.BinaryType())])
-    rows = df.mapInArrow(lambda it, at=df.columns.index(text_col): _with_sha(it, at), schema)
+    sha, i, k = (fresh(df, x) for x in ("dedup_sha", "dedup_id", "dedup_key"))
+    g = tmp.save(exact_groups(df, id_col, text_col).where("group_size > 1"), "groups").select(F.col("doc_id").alias(i), F.unhex("text_sha256").alias(k), "kept")
+    gone = tmp.save(g.where("not kept").select(i, k).distinct(), "gone")
+    twice = tmp.save(g.where("kept").groupBy(i, k).agg(F.count("*").alias("c")).where("c > 1").select(i, k), "twice")
+    schema = T.StructType([*df.schema.fields, T.StructField(sha, T.BinaryType())])
+    rows = df.mapInArrow(lambda it, at=df.columns.index(text_col): _with_sha(it, at, sha), schema)
 
     def on(keys: DataFrame):
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS // 8 else keys
-        return keys, rows[id_col].cast("long").eqNullSafe(keys["_id"]) & (rows["_sha"] == keys["_key"])
+        return keys, rows[id_col].cast("long").eqNullSafe(keys[i]) & (rows[sha] == keys[k])
 
     left = rows.join(*on(gone), "left_anti")
     if twice.isEmpty():
-        return left.drop("_sha")
+        return left.drop(sha)
     keys, cond = on(twice)
-    return left.join(keys, cond, "left_anti").unionByName(left.join(keys, cond, "left_semi").dropDuplicates([id_col, "_sha"])).drop("_sha")
+    return left.join(keys, cond, "left_anti").unionByName(left.join(keys, cond, "left_semi").dropDuplicates([id_col, sha])).drop(sha)

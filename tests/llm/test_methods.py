@@ -12,6 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, license_scan, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan
+from quern.llm.common import Scratch
 from quern.llm.queries import PIECE_MODEL
 
 DATA = "/root/testdata/sf0.001"
@@ -300,11 +301,25 @@ def test_quality_on_held_out_labels(spark):
 # ---- mixing
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10]) == [5.0, 10.0, 15.0]
-    t = mixing.targets([1, 100, 1, 50])
-    assert t[2] == 3.0 and all(a <= 3 * s + 1e-9 for a, s in zip(t, [1, 100, 1, 50])) and sum(t) == pytest.approx(152)
-    assert mixing.targets([0, 0]) == [0.0, 0.0] and mixing.targets([]) == []
+def shares(sizes, cap=3.0, weights=(1, 2, 3)):
+    """Targets of sources in order, by taking capped sources out one after another."""
+    w, out, free = [weights[i % 3] for i in range(len(sizes))], {}, set(range(len(sizes)))
+    while free:
+        level = (sum(sizes) - sum(out.values())) / sum(w[i] for i in free)
+        worst = min(free, key=lambda i: sizes[i] / w[i])
+        if level * w[worst] <= cap * sizes[worst]:
+            return {**out, **{i: level * w[i] for i in free}}
+        out[worst] = cap * sizes[worst]
+        free.remove(worst)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 100, 1, 50], [0, 0], [], [5], [7, 0, 900, 3, 3, 1, 40, 2, 2, 11]])
+def test_targets(spark, sizes):
+    rows = [("" if i == len(sizes) - 1 else f"s{i:02}", n, 1) for i, n in enumerate(sizes)]
+    rows = [(None if s == "" else s, n, c) for s, n, c in rows]
+    got = mixing.targets(spark.createDataFrame(rows[::-1], "source string, source_size long, n long").repartition(3), Scratch(spark, "t")).collect()
+    assert {r["k"]: r["target"] for r in got} == pytest.approx(shares(sizes)) and all(rows[r["k"]][0] == r["source"] for r in got)
 
 
 def test_trades_keep_mass_and_expectation():
@@ -328,3 +343,25 @@ def test_mix_nears_targets(spark):
         by[r["source_size"]][1] = r["target"]
     assert all(abs(t - k) <= 30 for k, t in by.values())
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(d.repartition(3), bucket_rows=100, fan_in=4).collect()))
+
+
+def test_mixed_rows_are_all_there(spark):
+    """Ids of 63 bits and null ids, repeated rows, clashing names: as many rows come out as there are copies, of the right texts."""
+    rnd = random.Random(8)
+    ids = [2**60 + 1, 2**60 + 3, 2**62 + 5, None, None, -(2**61) - 7] + [2**59 + 2 * i + 1 for i in range(400)] + [3, 3, 3]
+    rows = [(i, " ".join(f"w{rnd.randrange(9)}" for _ in range(rnd.randint(0, 30))), rnd.choice(["a", "a", "b", None]), k, 1, 2, 3, "s", "r", 7) for k, i in enumerate(ids)]
+    rows += [rows[-1], rows[-1][:3] + (999, 1, 2, 3, "s", "r", 7)]
+    names = "doc_id long, text string, source string, _n long, _id long, _k long, _s long, _copies string, _sha string, mix_id long"
+    d = spark.createDataFrame(rows, names)
+    got = mixing.mix(d, bucket_rows=20, fan_in=3, keys=True).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, (r[0] for r in rows)))
+    out = mixing.repeat_rows(d, bucket_rows=20, fan_in=3)
+    assert out.columns == d.columns
+    n = collections.Counter()
+    for r in got:
+        n[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    back = [tuple(r) for r in out.collect()]
+    assert set(back) <= set(rows)
+    assert collections.Counter((r[0], r[2], len(r[1].split())) for r in back) == +n and sum(n.values()) == len(back) > 100
+    kept = exact_dedup.drop_copies(d)
+    assert kept.columns == d.columns and {r["text"] for r in kept.collect()} == {r[1] for r in rows}
