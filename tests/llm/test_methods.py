@@ -165,15 +165,45 @@ def test_unigram_scores_win():
 # ---- exact dedup
 
 
+@pytest.mark.parametrize("q", [1, 4, 7, 10, 57])
+def test_filter_bits(q):
+    """The bits of every slot mean what they should, whole fingerprints and counts come back, and each can be looked up."""
+    rng = np.random.default_rng(q)
+    x = rng.integers(0, 2**63, 700, dtype=np.uint64) << np.uint64(1)
+    x = np.r_[x, x[:90], np.repeat(x[:3], [2, 40, 1300]), np.uint64(0), np.uint64(2**64 - 1)]
+    if q == 57:
+        x = x >> np.uint64(60)  # seven bits are left for a remainder and for a counter's digits
+        x = np.r_[x << np.uint64(3), np.zeros(70_000, np.uint64)]
+    prefix = 0
+    f = exact_dedup.CountingQuotientFilter.build(x, q=min(q, 12), prefix=prefix) if q < 57 else exact_dedup.CountingQuotientFilter.build(x, prefix=prefix, q=4)
+    want = collections.Counter(x.tolist())
+    fp, n = f.items()
+    assert dict(zip(fp.tolist(), n.tolist())) == want and (np.diff(fp.astype(object)) > 0).all()
+    digit = f.continuation & ~f.shifted
+    used = f.occupied | f.continuation | f.shifted
+    assert f.occupied.sum() == (used & ~f.continuation).sum() == len({int(v) >> f.r for v in want})
+    assert used.sum() == len(want) + digit.sum() and not (digit & ~used).any()
+    assert all(f.count(v) == c for v, c in list(want.items())[:200]) and f.count(12345) == want.get(12345, 0)
+    g = exact_dedup.CountingQuotientFilter.load(*f.dump(), prefix, 0)
+    assert (g.slots == f.slots).all() and (g.occupied == f.occupied).all() and (g.continuation == f.continuation).all() and (g.shifted == f.shifted).all()
+
+
+def test_small_remainders_count_in_several_digits():
+    f = exact_dedup.CountingQuotientFilter
+    x = np.repeat(np.array([5, 6, 7], np.uint64) | np.uint64(3 << 62), [1, 300, 70_000])
+    g = f.build(x, prefix=58, top=3 << 56, q=3)
+    assert g.r == 3 and dict(zip(*map(np.ndarray.tolist, g.items()))) == collections.Counter(x.tolist()) and g.count((3 << 62) + 7) == 70_000
+
+
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(1)
     parts = [rng.integers(0, 2**63, 500, dtype=np.uint64) >> np.uint64(rng.integers(0, 50)) for _ in range(9)]
     f = exact_dedup.CountingQuotientFilter
-    whole = f.merge([f.build(p) for p in parts])
+    whole = f.merge(f.build(p) for p in parts)
     want = collections.Counter(int(x) for p in parts for x in p)
-    assert dict(zip(whole.fingerprints.tolist(), whole.counts.tolist())) == want
-    cut = {k: s for k, s in whole.slices(4)}
-    assert sum(int(s.counts.sum()) for s in cut.values()) == 4500 and all((s.fingerprints >> np.uint64(60) == k).all() for k, s in cut.items())
+    assert dict(zip(*map(np.ndarray.tolist, whole.items()))) == want and not len(f.merge(iter(())).items()[0])
+    cut = list(whole.slices(4))
+    assert sum(int(s.items()[1].sum()) for s in cut) == 4500 and all((s.items()[0] >> np.uint64(60) == s.top).all() for s in cut)
 
 
 def test_collisions_are_told_apart(spark, monkeypatch):
