@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def violations(df: DataFrame, key: list[str], checks: dict[str, Column] | None = None, not_null: tuple[str, ...] = (), unique: tuple[tuple[str, ...], ...] = (), foreign: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
@@ -29,10 +33,10 @@ def insert_ignore(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFra
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows replace those of the same key; others are added. One shuffle by key, without a join."""
+    """Rows replace those of the same key, of several new ones the largest; others are added. One shuffle by key, without a join."""
     rest = [c for c in target.columns if c not in key]
     both = target.select("*", F.lit(0).alias("_g")).unionByName(rows.select(*target.columns, F.lit(1).alias("_g")))
-    return both.groupBy(*key).agg(F.max_by(F.struct(*rest), "_g").alias("_v")).select(*key, "_v.*").select(*target.columns)
+    return both.groupBy(*key).agg(F.max(F.struct("_g", *rest)).alias("_v")).select(*key, *[F.col("_v")[c].alias(c) for c in rest]).select(*target.columns)
 
 
 def update_where(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
@@ -53,13 +57,28 @@ def compare_and_set(df: DataFrame, writes: DataFrame, key: str, value: str, vers
 
 
 def reserve(stock: DataFrame, requests: DataFrame, item: str, have: str, want: str, order: list[str]) -> DataFrame:
-    """Requests in order with `accepted`: a request passes while the running demand for its item stays within the stock.
+    """Requests with `accepted`: one after another, in order, each takes its amount from what its item has left, or is refused and
+    takes nothing. Unknown items and null amounts are refused.
 
-    A refused request still counts in the running sum, so acceptance is a prefix of each item's requests, as a batch that is
-    checked before it is written. Unknown items have no stock.
+    What a request finds depends on the fate of all before it, so an item's requests are one stream in one task; items are
+    independent, and a task holds one batch and one number, however many requests an item has.
     """
-    w = Window.partitionBy(item).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return requests.join(stock.select(item, have), item, "left").withColumn("running", F.sum(want).over(w)).withColumn("accepted", F.col("running") <= F.coalesce(have, F.lit(0)))
+    rows = requests.join(stock.select(item, F.col(have).alias("_have")), item, "left")
+    fields = [*rows.drop("_have").schema.fields, T.StructField("accepted", T.BooleanType())]
+    names = rows.columns
+    key, amount, has = names.index(item), names.index(want), names.index("_have")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left = object(), 0
+        for b in it:
+            out = []
+            for k, n, h in zip(*(b.column(i).to_pylist() for i in (key, amount, has))):
+                now, left = k, left if k == now else h or 0
+                out.append(n is not None and n <= left)
+                left -= n if out[-1] else 0
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names)) if i != has), pa.array(out, pa.bool_())], names=[f.name for f in fields])
+
+    return rows.repartition(item).sortWithinPartitions(item, *order).mapInArrow(run, T.StructType(fields))
 
 
 def audit_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,11 @@ def suggestions(edges: DataFrame, kind: str | None = None) -> DataFrame:
     return two.join(e.select(F.col("src").alias("id"), F.col("dst").alias("suggested")), ["id", "suggested"], "left_anti")
 
 
-def shortest_path(edges: DataFrame, src, dst, kind: str | None = None, max_hops: int = 50) -> list | None:
+def shortest_path(edges: DataFrame, src, dst, kind: str | None = None) -> list | None:
     """The nodes of a path with the fewest hops, of several the first in node order; None where there is none.
 
     The frontier grows by one join a hop and stops when it reaches the end or nothing is new. Parents are kept as a table in
-    the checkpoint folder, and only the path itself, at most max_hops rows, comes to the driver.
+    the checkpoint folder, and only the path itself comes to the driver.
     """
     from ..sources.scratch import Scratch
 
@@ -49,7 +51,7 @@ def shortest_path(edges: DataFrame, src, dst, kind: str | None = None, max_hops:
     e = (edges if kind is None else edges.where(F.col("type") == kind)).select("src", "dst").distinct()
     tmp = Scratch(edges.sparkSession, "path")
     seen = tmp.save(edges.sparkSession.createDataFrame([(src, None, 0)], f"id {dict(edges.dtypes)['src']}, parent {dict(edges.dtypes)['src']}, hop int"), "0")
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         step = seen.where(F.col("hop") == hop - 1).join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
         new = step.select(F.col("dst").alias("id"), "parent", F.lit(hop).alias("hop")).join(seen.select("id"), "id", "left_anti")
         grown = tmp.save(seen.unionByName(new.select(*seen.columns)), str(hop))
@@ -61,10 +63,9 @@ def shortest_path(edges: DataFrame, src, dst, kind: str | None = None, max_hops:
             for h in range(hop, 0, -1):
                 path.append(seen.where((F.col("id") == path[-1]) & (F.col("hop") == h)).first()["parent"])
             return path[::-1]
-    return None
 
 
-def cycle_nodes(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on a directed cycle or on a path between cycles: what is left after nodes without a way in or out are removed, again and again.
 
     A wait-for graph has a deadlock exactly when something is left. Rounds grow with the longest chain that hangs off.
@@ -74,7 +75,7 @@ def cycle_nodes(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     tmp = Scratch(edges.sparkSession, "cycle")
     e = tmp.save(edges.select("src", "dst").distinct(), "0")
     n = e.count()
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         heads, tails = e.select(F.col("src").alias("dst")).distinct(), e.select(F.col("dst").alias("src")).distinct()
         e = tmp.save(e.join(heads, "dst", "left_semi").join(tails, "src", "left_semi").select("src", "dst"), str(i))
         m = e.count()

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REDOABLE = ("UPDATE", "CLR")
@@ -56,15 +58,14 @@ def redo_decision(kind: str, lsn: int, page: str, dpt: dict[str, int], page_lsn:
 def undo_records(wal: DataFrame, losers: DataFrame) -> DataFrame:
     """(lsn, tx_id, page_id, before) of updates to compensate, newest first.
 
-    A CLR undoes the updates between its undo_next_lsn and itself, so an update stands if no later CLR of its transaction
-    jumps over it: a comparison with the smallest such jump, not a walk along the chain.
+    A CLR says that all updates between its undo_next_lsn and itself are undone. So an update still counts unless some later CLR of
+    its transaction has a smaller undo_next_lsn: the smallest one after each record, by one pass over each transaction.
     """
     own = wal.join(losers.select("tx_id"), "tx_id", "left_semi")
-    jump = own.where("kind = 'CLR'").groupBy("tx_id").agg(F.min(F.coalesce("undo_next_lsn", F.lit(0))).alias("_jump"))
-    up = own.where("kind = 'UPDATE'").join(jump, "tx_id", "left")
-    last = own.groupBy("tx_id").agg(F.max(F.when(F.col("kind") == "CLR", F.col("lsn"))).alias("_clr"))
-    keep = F.col("_jump").isNull() | (F.col("lsn") <= F.col("_jump")) | (F.col("lsn") > F.col("_clr"))
-    return up.join(last, "tx_id").where(keep).select("lsn", "tx_id", "page_id", "before").orderBy(F.col("lsn").desc())
+    later = Window.partitionBy("tx_id").orderBy("lsn").rowsBetween(1, Window.unboundedFollowing)
+    to = F.when(F.col("kind") == "CLR", F.coalesce("undo_next_lsn", F.lit(0)))
+    d = own.withColumn("_to", F.min(to).over(later)).where("kind = 'UPDATE'")
+    return d.where(F.coalesce(F.col("_to") >= F.col("lsn"), F.lit(True))).select("lsn", "tx_id", "page_id", "before").orderBy(F.col("lsn").desc())
 
 
 def undo_chain(wal: DataFrame, tx_id: int) -> list[int]:
@@ -108,30 +109,38 @@ def two_phase(votes: DataFrame, decisions: DataFrame, prepared: DataFrame) -> di
     return {"outcome": outcome, "in_doubt": doubt, "resolved": doubt.join(known, "tx", "left").select("participant", "tx", F.coalesce("kind", F.lit("ABORT")).alias("decision"))}
 
 
-GENESIS = "0" * 64
+GENESIS = "0" * 64  #: what the first entry of a log follows
 
 
-def audit_entry(body: dict) -> str:
-    """The hash of an entry without its own hash: SHA-256 of its JSON with sorted keys."""
-    return hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
+def _links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (log, seq, body) by log and seq: each body gets the hash of the one before, and its own hash of the sorted JSON."""
+    log, last = None, GENESIS
+    for b in it:
+        bodies, hashes = [], []
+        for name, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            log, last = name, last if name == log else GENESIS
+            bodies.append(json.dumps({**json.loads(text), "prev_hash": last}, sort_keys=True))
+            last = hashlib.sha256(bodies[-1].encode()).hexdigest()
+            hashes.append(last)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bodies, pa.string()), pa.array(hashes, pa.string())], names=["log", "seq", "body", "hash"])
 
 
-def append_audit(entries: list[dict], event: str, tx_id: int, user: str, **detail) -> dict:
-    body = {"seq": len(entries) + 1, "event": event, "tx_id": tx_id, "user": user, **detail, "prev_hash": entries[-1]["hash"] if entries else GENESIS}
-    entries.append({**body, "hash": audit_entry(body)})
-    return entries[-1]
+def seal(events: DataFrame, log: str, seq: str, body: Column) -> DataFrame:
+    """(log, seq, body, hash): each log's events (JSON objects) as a hash chain. A chain is sequential, so a log is read by one
+    task, as a stream; logs are independent."""
+    rows = events.select(F.col(log).cast("string").alias("log"), F.col(seq).cast("long").alias("seq"), body.alias("body"))
+    return rows.repartition("log").sortWithinPartitions("log", "seq").mapInArrow(_links, "log string, seq long, body string, hash string")
 
 
-def first_damaged(audit: DataFrame) -> int | None:
-    """The seq of the first entry (seq, body JSON, hash) whose hash or link to the entry before is wrong.
+def first_damaged(audit: DataFrame, log: str = "log") -> DataFrame:
+    """(log, first_damaged): the seq of each log's first entry whose hash or link to the entry before is wrong, or null.
 
     Hashes are checked where the rows are; links need the entry before, by seq. A deleted entry shows at its successor.
     """
     from ..functions.scalar import canonical_sha256
 
-    a = audit.select("seq", canonical_sha256(F.col("body")).alias("own"), F.get_json_object("body", "$.prev_hash").alias("prev"), "hash")
-    b = a.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("before"))
-    first = a.agg(F.min("seq")).first()[0]
-    link = F.when(F.col("seq") == 1, F.lit(GENESIS)).when(F.col("seq") == first, F.lit(GENESIS)).otherwise(F.col("before"))
-    bad = a.join(b, "seq", "left").where((F.col("own") != F.col("hash")) | ~F.col("prev").eqNullSafe(link))
-    return bad.agg(F.min("seq")).first()[0]
+    before = F.lag(F.struct("seq", "hash")).over(Window.partitionBy(log).orderBy("seq"))
+    a = audit.withColumns({"_before": before, "_own": canonical_sha256(F.col("body")), "_prev": F.get_json_object("body", "$.prev_hash")})
+    link = F.when(F.col("_before").isNull(), GENESIS).when(F.col("_before.seq") == F.col("seq") - 1, F.col("_before.hash"))
+    bad = (F.col("_own") != F.col("hash")) | ~F.col("_prev").eqNullSafe(link)
+    return a.groupBy(log).agg(F.min(F.when(bad, F.col("seq"))).alias("first_damaged"))

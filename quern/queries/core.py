@@ -265,10 +265,14 @@ def w4(spark, d):
 
 
 @q("w5_reserve_stock", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, accepted FROM (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-         sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) <= p_size * 10 AS accepted
-  FROM lineitem JOIN part ON p_partkey = l_partkey)""")
+WITH RECURSIVE r AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS want, CAST(p_size * 10 AS BIGINT) AS have,
+         row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS k
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
+s AS (
+  SELECT l_partkey, k, coalesce(want <= have, false) AS accepted, coalesce(have, 0) - CASE WHEN want <= have THEN want ELSE 0 END AS rest FROM r WHERE k = 1
+  UNION ALL SELECT r.l_partkey, r.k, r.want <= s.rest, s.rest - CASE WHEN r.want <= s.rest THEN r.want ELSE 0 END FROM s JOIN r ON r.l_partkey = s.l_partkey AND r.k = s.k + 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, accepted FROM r JOIN s USING (l_partkey, k)""")
 def w5(spark, d):
     stock = _t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") * 10).alias("have"))
     req = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_quantity").cast("long").alias("want"))

@@ -280,7 +280,7 @@ def ivf(spark, d):
 
 @q("sl12_graph_index")
 def hnsw(spark, d):
-    return V.graph_search(_t(spark, d, "embeddings"), _query_set(spark, d), 10, partitions=4)
+    return V.graph_search(_t(spark, d, "embeddings"), _query_set(spark, d), 10)
 
 
 @q("ag20_index_recall")
@@ -343,7 +343,7 @@ def frequency(spark, d):
 
 @q("sl13_retrieve")
 def retrieve(spark, d):
-    return X.Retrieval(_chunks(spark, d)).retrieve_table(_questions(spark, d, 12)).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
+    return X.Retrieval(_chunks(spark, d)).retrieve(_questions(spark, d, 12)).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @q("sc30_markdown_chunks")
@@ -472,7 +472,7 @@ def statistics(spark, d):
     return A.collect_stats(_t(spark, d, "orders"), ["o_orderstatus", "o_custkey"]).select("column", "rows", F.col("null_frac").cast("double").alias("null_frac"), "n_distinct")
 
 
-@q("op5_plan_choice", "SELECT value, kind, n, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('rare', 'IndexScan', 150, 229.8), ('hot', 'SeqScan', 6000, 300.0)) t(value, kind, n, cost)")
+@q("advisor5_plan_choice", "SELECT value, kind, n, CAST(cost AS DOUBLE) AS cost FROM (VALUES ('rare', 'IndexScan', 150, 229.8), ('hot', 'SeqScan', 6000, 300.0)) t(value, kind, n, cost)")
 def plans(spark, d):
     t = A.TableStats(10_000, 200, {"status": A.ColumnStats(0.05, 12, {"hot": 0.60, "warm": 0.20})}, frozenset({"status"}))
     rows = []
@@ -542,16 +542,14 @@ def in_doubt(spark, d):
     return L.two_phase(votes, spark.createDataFrame([("t3", "COMMIT")], "tx string, kind string"), log)["resolved"]
 
 
-@q("tx12_audit_chain", "SELECT CAST(3 AS BIGINT) AS first_damaged")
+@q("tx12_audit_chain", "SELECT CAST(o_custkey AS VARCHAR) AS log, min(seq) FILTER (WHERE o_orderkey % 97 = 0) AS first_damaged FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders) GROUP BY o_custkey")
 def audit(spark, d):
-    import json
-
-    entries = []
-    for i in range(6):
-        L.append_audit(entries, "UPDATE", i, "sara", page="A")
-    entries[2]["user"] = "omar"
-    rows = [(e["seq"], json.dumps({k: v for k, v in e.items() if k != "hash"}), e["hash"]) for e in entries]
-    return spark.createDataFrame([(L.first_damaged(spark.createDataFrame(rows, "seq long, body string, hash string")),)], "first_damaged long")
+    from pyspark.sql import Window
+
+    o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("seq"))
+    sealed = L.seal(o, "o_custkey", "seq", F.to_json(F.struct("seq", F.col("o_orderkey").alias("event"), F.col("o_orderstatus").alias("user"))))
+    hurt = F.get_json_object("body", "$.event").cast("long") % 97 == 0
+    return L.first_damaged(sealed.withColumn("body", F.when(hurt, F.regexp_replace("body", '"user": "', '"user": "x')).otherwise(F.col("body"))))
 
 
 @q("wn2_turn_chain", "SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations")

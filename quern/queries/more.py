@@ -164,7 +164,7 @@ def ag17(spark, d):
 @q("ag21_hit_at_k")
 def ag21(spark, d):
     asked = _questions(spark, d, 10)
-    found = X.Retrieval(_chunks(spark, d)).retrieve_table(asked).select(F.col("question_id").alias("question"), F.col("id").alias("source"))
+    found = X.Retrieval(_chunks(spark, d)).retrieve(asked).select(F.col("question_id").alias("question"), F.col("id").alias("source"))
     all_hits = X.hits(found, asked.select(F.col("question_id").alias("question"), F.col("question_id").alias("expected")))
     every = asked.select(F.col("question_id").alias("question")).join(all_hits, "question", "left")  # one without known words is no hit
     return every.select(F.col("question").cast("string").alias("question"), F.coalesce("hit", F.lit(False)).alias("hit"))
@@ -189,7 +189,7 @@ def sl8(spark, d):
 
 @q("sl14_answer")
 def sl14(spark, d):
-    return X.Retrieval(_chunks(spark, d)).answer_table(_questions(spark, d, 12)).select("question_id", "grounded", F.size("citations").alias("citations"))
+    return X.Retrieval(_chunks(spark, d)).answer(_questions(spark, d, 12)).select("question_id", "grounded", F.size("citations").alias("citations"))
 
 
 @q("sl15_merged_runs", "SELECT o_orderkey FROM orders ORDER BY o_orderkey")
@@ -272,7 +272,7 @@ def u1(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", F.expr("cast(line_total(cast(l_quantity AS decimal(18,2)), cast(l_extendedprice AS decimal(18,2))) AS double)").alias("total"))
 
 
-@q("op6_conjunction", "SELECT CAST(0.16 AS DOUBLE) AS share, 160 AS n, 'SeqScan' AS kind")
+@q("advisor6_conjunction", "SELECT CAST(0.16 AS DOUBLE) AS share, 160 AS n, 'SeqScan' AS kind")
 def op6(spark, d):
     t = A.TableStats(1000, 50, {"a": A.ColumnStats(0.1, 10, {10: 0.2, 90: 0.1}, (0, 25, 50, 75, 100)), "b": A.ColumnStats(0, 2, {"x": 0.8})})
     preds = [A.Predicate("a", "=", 10), A.Predicate("b", "=", "x")]
