@@ -113,6 +113,19 @@ def test_stock_is_never_oversold(spark):
     assert [r["accepted"] for r in C.reserve(stock, req, "item", "have", "want", ["id"]).orderBy("id").collect()] == [False, True, True, False, False]
 
 
+def test_a_refused_request_leaves_the_stock(spark):
+    rng = np.random.default_rng(4)
+    stock = {f"i{k}": int(rng.integers(0, 40)) for k in range(7)}
+    req = [(k, f"i{int(rng.integers(0, 8))}", int(rng.integers(1, 15))) for k in range(300)]
+    left, want = dict(stock), []
+    for _, i, n in req:
+        want.append(n <= left.get(i, 0))
+        left[i] = left.get(i, 0) - n * want[-1]
+    r = spark.createDataFrame(req, "id int, item string, want int").repartition(5)
+    got = C.reserve(spark.createDataFrame(list(stock.items()), "item string, have int"), r, "item", "have", "want", ["id"]).orderBy("id").collect()
+    assert [x["accepted"] for x in got] == want and any(not a and b for a, b in zip(want, want[1:]))
+
+
 def test_audit_diff(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (4, "same")], "id int, v string")
     b = spark.createDataFrame([(2, "z"), (3, "n"), (4, "same")], "id int, v string")
@@ -199,22 +212,26 @@ def test_search_agrees(spark):
 MD = "# Logs\n" + "The log is flushed before the page is written to disk because recovery needs it. " * 3 + "\n```\ncode here\n```\n## Table\n| name | size |\n|---|---|\n| lru | big |\n" + "More words follow here so that the section is long enough to keep.\n# Short\nfew words\n"
 
 
-def test_markdown():
-    got = X.split_markdown(MD, "lab")
-    assert [h for _, h, _ in got] == ["Logs", "Table"] and "code here" not in got[0][2] and "name: lru; size: big." in got[1][2]
-    long = X.split_markdown("# A\n" + " ".join(f"w{i}" for i in range(300)), "s")
-    assert [t.split()[0] for _, _, t in long] == ["w0", "w90", "w180"] and long[0][2].split()[-30:] == long[1][2].split()[:30]
+def test_markdown(spark):
+    files = spark.createDataFrame([("lab", MD), ("s", "# A\n" + " ".join(f"w{i}" for i in range(300))), ("none", None)], "path string, text string")
+    got = {}
+    for r in X.chunks(files).collect():
+        got.setdefault(r["source"], []).append((r["heading"], r["text"]))
+    lab = dict(got["lab"])
+    assert set(lab) == {"Logs", "Table"} and "code here" not in lab["Logs"] and "name: lru; size: big." in lab["Table"] and "none" not in got
+    long = sorted((t for _, t in got["s"]), key=lambda t: int(t.split()[0][1:]))
+    assert [t.split()[0] for t in long] == ["w0", "w90", "w180"] and long[0].split()[-30:] == long[1].split()[:30]
 
 
 def test_retrieval(spark):
     docs = [(1, "recovery-notes", "Recovery", "The write ahead log must be flushed before a dirty page is written to disk so that undo is possible."), (2, "cluster-notes", "Raft", "A leader is elected by a majority of the votes of the cluster in each new term."), (3, "cluster-notes", "Vectors", "An index of neighbours walks greedily down the layers of a navigable graph to search.")]
     r = X.Retrieval(spark.createDataFrame(docs, "id long, source string, heading string, text string"))
     assert r.retrieve("Why must the log be flushed before a dirty page is written?", 1).first()["id"] == 1
-    a = r.answer("Who is elected leader of the cluster by votes?")
-    assert a["grounded"] and "[1] cluster-notes / Raft" in a["citations"][0]
-    assert not r.answer("zebra quagga xylophone")["grounded"] and r.retrieve("zebra").count() == 0
+    a = r.answer("Who is elected leader of the cluster by votes?").first()
+    assert a["grounded"] and a["text"].startswith("A leader is elected") and "[1] cluster-notes / Raft" in a["citations"][0]
+    assert not r.answer("zebra quagga xylophone").first()["grounded"] and r.retrieve("zebra").count() == 0
     with pytest.raises(ValueError):
-        X.Retrieval(r.table.drop("_slots").limit(0))
+        X.Retrieval(r.table.limit(0))
 
 
 # ---- partitions
@@ -224,7 +241,11 @@ def test_ranges(spark):
     p = P.Ranges((100, 200), ("a", "b", "c"))
     d = spark.createDataFrame([(k,) for k in (0, 99, 100, 199, 200)], "k int")
     assert [r[0] for r in d.select(p.shard(F.col("k"))).collect()] == ["a", "a", "b", "b", "c"]
-    assert p.shards_between(50, 150) == ["a", "b"] and p.split("b", 150, "d").names == ("a", "b", "d", "c")
+    assert p.touching(50, 150) == ["a", "b"] and p.touching(100, 100) == ["b"] and p.touching(-5, 900) == ["a", "b", "c"]
+    wider = p.cut("b", 150, "d")
+    assert wider.names == ("a", "b", "d", "c") and wider.touching(149, 150) == ["b", "d"] and p.cut("a", 7, "z").names == ("a", "z", "b", "c")
+    with pytest.raises(ValueError):
+        p.cut("a", 150, "d")
     with pytest.raises(ValueError):
         P.Ranges((2, 1), ("a", "b", "c"))
     assert P.target({"$and": [{"k": 150}, {"x": 1}]}, "k", p) == ["b"] and P.target({"k": {"$gt": 1}}, "k", p) == ["a", "b", "c"]
@@ -258,6 +279,8 @@ def test_graph(spark):
     nodes = spark.createDataFrame([("a", "Cairo"), ("c", "Cairo"), ("e", "Cairo"), ("b", "Giza"), ("d", "Giza")], "id string, label string")
     e = spark.createDataFrame([(x[0], x[1], "FOLLOWS") for x in ("ab", "bc", "cd", "ae", "ec")], "src string, dst string, type string")
     assert G.shortest_path(e, "a", "d")[0::3] == ["a", "d"] and len(G.shortest_path(e, "a", "d")) == 4
+    far = spark.range(70).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert G.shortest_path(far, 0, 60) == list(range(61))
     assert G.shortest_path(e, "d", "a") is None and G.shortest_path(e, "a", "a") == ["a"]
     assert rows(G.suggestions(e).where("id = 'a'")) == [("a", "c")]
     assert rows(G.match(nodes, e, "Cairo", "FOLLOWS", "Cairo")) == [("a", "e"), ("e", "c")]
@@ -344,6 +367,8 @@ def test_recovery(spark):
             L.undo_chain(log, bad)
     part = wal(spark, [*WAL[:6], (7, "UPDATE", 1, 4, "B", 1, 2, None), (8, "UPDATE", 1, 7, "C", 1, 2, None), (9, "CLR", 1, 8, "C", None, 1, 7)])
     assert L.undo_chain(part, 1) == [7, 4]
+    twice = wal(spark, [(1, "BEGIN", 1, None, None, None, None, None), (2, "UPDATE", 1, 1, "A", 0, 1, None), (3, "UPDATE", 1, 2, "B", 0, 1, None), (4, "CLR", 1, 3, "B", None, 0, 2), (5, "UPDATE", 1, 4, "C", 0, 1, None), (6, "UPDATE", 1, 5, "D", 0, 1, None), (7, "CLR", 1, 6, "D", None, 0, 5)])
+    assert L.undo_chain(twice, 1) == [5, 2]
     assert L.redo_decision("UPDATE", 6, "C", {"A": 4}, 0) == "not in DPT" and L.redo_decision("CLR", 6, "C", {"C": 7}, 0) == "LSN < recLSN"
     assert L.redo_decision("UPDATE", 6, "C", {"C": 6}, 6) == "pageLSN >= LSN" and L.redo_decision("UPDATE", 6, "C", {"C": 6}, 5) == "apply"
     with pytest.raises(ValueError):
@@ -358,18 +383,13 @@ def test_failover(spark, lsn, want):
 
 
 def test_audit_chain(spark):
-    import json
-
-    def frame(entries):
-        return spark.createDataFrame([(e["seq"], json.dumps({k: v for k, v in e.items() if k != "hash"}), e["hash"]) for e in entries], "seq long, body string, hash string")
-
-    entries = []
-    for i in range(5):
-        L.append_audit(entries, "UPDATE", i, "sara")
-    assert L.first_damaged(frame(entries)) is None
-    assert L.first_damaged(frame([e for e in entries if e["seq"] != 3])) == 4
-    entries[2] = {**entries[2], "user": "omar"}
-    assert L.first_damaged(frame(entries)) == 3
+    events = spark.createDataFrame([(log, i, f"sara{i}") for log in ("a", "b") for i in range(1, 6)], "log string, seq long, user string").repartition(3)
+    sealed = L.seal(events, "log", "seq", F.to_json(F.struct("seq", "user"))).cache()
+    damage = lambda d: {r["log"]: r["first_damaged"] for r in L.first_damaged(d, "log").collect()}
+    assert damage(sealed) == {"a": None, "b": None}
+    assert damage(sealed.where("not (log = 'a' and seq = 3)")) == {"a": 4, "b": None}
+    forged = sealed.withColumn("body", F.when(F.expr("log = 'b' and seq = 2"), F.regexp_replace("body", "sara", "omar")).otherwise(F.col("body")))
+    assert damage(forged) == {"a": None, "b": 2}
 
 
 # ---- simulators and tenants
