@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from quern.llm import exact_dedup, license_scan, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan
+from quern.llm import exact_dedup, mixing, ngram_join, pieces, pii, quality_classifier, quality_rules, secret_scan
 from quern.llm.common import Scratch
 from quern.llm.queries import PIECE_MODEL
 
@@ -304,19 +304,6 @@ def test_ledger_scans_a_blob_once(spark):
 # ---- trained models
 
 
-def test_licence_families(spark):
-    lines = {s: k for k, group in license_scan.TEMPLATES.items() for s in group}
-    assert sum(license_scan.judge(s)[0] == k for s, k in lines.items()) >= 0.9 * len(lines)
-    held = license_scan.examples(800, 99)
-    unknown = [s for s, k in held if k == len(license_scan.FAMILIES)]
-    assert sum(license_scan.judge(s)[0] is not None for s in unknown) <= 0.01 * len(unknown)
-    rows = [(i, s) for i, (s, _) in enumerate(held)] + [(5000, "\n".join(s for s, _ in held[:40]))]
-    got = {r["doc_id"]: r["paragraphs"] for r in license_scan.digest(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    for i, t in rows:
-        want = [(n, license_scan.judge(x)[0]) for n, x in enumerate(t.split("\n"))]
-        assert got[i] == ",".join(f"{n}:{f}" for n, f in want if f)
-
-
 @here
 def test_quality_on_held_out_labels(spark):
     base = "/root/testdata/sf0.01"
