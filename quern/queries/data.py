@@ -394,7 +394,7 @@ def skew(spark, d):
 @q("ag16_moved", "SELECT avg(CASE WHEN o_custkey >= 100 AND o_custkey < 300 THEN 1.0 ELSE 0.0 END) AS moved FROM orders")
 def moved(spark, d):
     a = P.Ranges((300, 900), ("a", "b", "c"))
-    o = _t(spark, d, "orders").select(a.shard(F.col("o_custkey")).alias("x"), a.split("a", 100, "d").shard(F.col("o_custkey")).alias("y"))
+    o = _t(spark, d, "orders").select(a.shard(F.col("o_custkey")).alias("x"), a.cut("a", 100, "d").shard(F.col("o_custkey")).alias("y"))
     return P.moved(o, "x", "y")
 
 
