@@ -11,7 +11,9 @@ gives back every text. No piece has a space after another character, so a text f
 bounded table of chunks keeps what was encoded before.
 """
 
+import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNKS = 250_000  #: kept encodings in each Python worker
+PAIRS = 500_000  #: kept answers to whether a piece may follow another
 ROWS = 256  #: rows encoded at once
 
 
@@ -45,7 +48,8 @@ class Pieces:
             else:
                 self.ids[p.replace(MARK, " ")] = i
                 self.table.append(p.replace(MARK, " ").encode())
-        self.alphabet = {c for p in self.ids for c in p}
+        self.alphabet, self.longest = {c for p in self.ids for c in p}, max(map(len, self.ids), default=1)
+        self.foreign = re.compile("[^" + "".join(map(re.escape, sorted(self.alphabet))) + "]")
         split = not any(" " in p.lstrip(" ") for p in self.ids)
         self.chunk = re.compile((r" *[^ \n]+|\n| +" if "\n" not in self.alphabet else r" *[^ ]+| +") if split else r"(?s).+")
         self.automaton = ahocorasick.Automaton()
@@ -57,41 +61,84 @@ class Pieces:
         self.cache: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[int]:
-        """Joins the neighbours of the best score, leftmost first, until none join: the definition of BPE, for short texts."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = self.ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or self.scores[i] > best):
-                    best, at = self.scores[i], k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids.get(p, -1) for p in parts]
-
-    def _follows(self, a: int, b: int) -> bool:
-        key = a * len(self.table) + b
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > CHUNKS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge((self.table[a] + self.table[b]).decode()) == [a, b]
-        return ok
+        """Joins the neighbours of the best score, leftmost first, until none join: the definition of BPE.
+
+        Pairs wait in a heap and parts are a linked list, so long runs cost n log n. It settles which pieces may follow one another,
+        and texts of spaces alone, whose pieces share one score.
+        """
+        n, ids, scores = len(text), self.ids, self.scores
+        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))  # of the part that begins at each place
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(a: int) -> None:
+            b = after[a]
+            if b < n and end[b] - a <= self.longest and (i := ids.get(text[a : end[b]])) is not None:
+                heapq.heappush(heap, (-scores[i], a, end[b]))
+
+        for a in range(n - 1):
+            offer(a)
+        while heap:
+            _, a, e = heapq.heappop(heap)
+            b = after[a] if end[a] else n
+            if b >= n or end[b] != e:
+                continue  # one of the two has changed since
+            end[a], end[b], after[a] = e, 0, after[b]
+            if after[a] < n:
+                before[after[a]] = a
+                offer(a)
+            if before[a] >= 0:
+                offer(before[a])
+        out, a = [], 0
+        while a < n:
+            out.append(ids.get(text[a : end[a]], -1))
+            a = after[a]
+        return out
 
     def _path(self, text: str) -> list[int]:
         """Ids of a text whose every character is in the alphabet."""
-        n, bpe = len(text), self.kind == "bpe"
-        if not text.strip(" "):  # the pieces of spaces alone have one score, so which are merged first is a matter of place
-            return self.merge(text) if bpe else self._relax(text, n, bpe)
-        return self._relax(text, n, bpe)
+        if self.kind != "bpe":
+            return self._best(text)
+        return self._only(text) if text.strip(" ") else self.merge(text)
 
-    def _relax(self, text: str, n: int, bpe: bool) -> list[int]:
+    def _only(self, text: str) -> list[int]:
+        """The one path of pieces of which each may follow the one before."""
+        n, size, pairs = len(text), len(self.table), self.pairs
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = 0
+        for end, (length, i, _) in self.automaton.iter(text):
+            to = end + 1
+            if last[to] >= 0:
+                continue
+            at = to - length
+            a = last[at]
+            if a < 0:
+                continue
+            if at:
+                ok = pairs.get(a * size + i)
+                if ok is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    ok = pairs[a * size + i] = self.merge((self.table[a] + self.table[i]).decode()) == [a, i]
+                if not ok:
+                    continue
+            last[to], back[to] = i, at
+        if last[n] < 0:
+            return self.merge(text)
+        out = []
+        while n:
+            out.append(last[n])
+            n = back[n]
+        out.reverse()
+        return out
+
+    def _best(self, text: str) -> list[int]:
+        """The path with the best sum of scores; of equal ones, that of the longer last piece."""
+        n = len(text)
         score: list[float | None] = [0.0] + [None] * n
         last, back = [-1] * (n + 1), [0] * (n + 1)
         for end, (length, i, s) in self.automaton.iter(text):
             at, to = end + 1 - length, end + 1
-            if score[at] is None or bpe and (score[to] is not None or at and not self._follows(last[at], i)):
+            if score[at] is None:
                 continue
             s += score[at]
             if score[to] is None or s > score[to]:
@@ -105,17 +152,18 @@ class Pieces:
         return out[::-1]
 
     def _chunk(self, text: str) -> bytes:
+        if not self.foreign.search(text):
+            return array("i", self._path(text)).tobytes()
         ids: list[int] = []
         at = 0
-        for k, c in enumerate(text):
-            if c not in self.alphabet:
-                if at < k:
-                    ids += self._path(text[at:k])
-                ids += [self.byte[b] for b in c.encode()]
-                at = k + 1
+        for m in self.foreign.finditer(text):
+            if at < m.start():
+                ids += self._path(text[at : m.start()])
+            ids += [self.byte[b] for b in m[0].encode()]
+            at = m.end()
         if at < len(text):
             ids += self._path(text[at:])
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as 4-byte integers one after another."""
@@ -153,7 +201,8 @@ def encode(df: DataFrame, model: bytes, kind: str = "bpe", id_col: str = "doc_id
     """(doc_id, n_pieces, ids array<int>[, round_trip]), one row for each input row, without a shuffle.
 
     round_trip says whether decoding the ids gives the text back. Null and empty texts have no ids; repeated rows and null
-    ids of documents are encoded alike. Rows are taken a few at a time, so memory follows the longest texts.
+    ids of documents are encoded alike, and an empty table gives an empty one. Rows are taken a few at a time, so memory follows
+    the longest texts, and time a text's length (n log n in a run of spaces). Further columns of any name are not read.
     """
     item = pa.list_(pa.int32())
 

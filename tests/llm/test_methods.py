@@ -135,13 +135,23 @@ def test_long_lists_are_probed(monkeypatch, heap, few):
 def test_pieces_equal_the_library(spark):
     model = pieces.read_model(PIECE_MODEL)
     p, s = pieces.load(model, "bpe"), sentencepiece.SentencePieceProcessor(model_proto=model)
-    cases = [t for _, t in texts(spark)] + [" " * k + "x" + " " * (k // 2) for k in range(40)] + ["a\n\n b\t", "日本 é é", "aaaaaaaa", "\x00", "x"]
+    cases = [t for _, t in texts(spark)] + [" " * k + "x" + " " * (k // 2) for k in range(40)] + ["a\n\n b\t", "日本 é é", "aaaaaaaa", "\x00", "x", "ab" * 900, " " * 5000 + "end" + "=" * 700 + " " * 333]
     for t in cases:
         ids = np.frombuffer(p.encode(t), np.int32).tolist()
         assert ids == s.encode(t) and p.decode(ids) == t
     assert p.decode(np.frombuffer(p.encode("▁a ▁"), np.int32)) == "▁a ▁"
 
 
+def test_long_runs_take_little_time():
+    """A million spaces: time grows like n log n, where joining one pair after another over the whole text would take hours."""
+    import time
+
+    p = pieces.load(pieces.read_model(PIECE_MODEL), "bpe")
+    began = time.time()
+    ids = np.frombuffer(p.encode(" " * 300_000 + "x"), np.int32)
+    assert p.decode(ids.tolist()) == " " * 300_000 + "x" and time.time() - began < 30
+
+
 def test_decode(spark):
     model = pieces.read_model(PIECE_MODEL)
     d = spark.createDataFrame([(1, "two  words\n"), (2, None), (3, "")], "doc_id long, text string")
