@@ -4,8 +4,9 @@ A blob is a content address (SHA-256 of the text). Every path, a document at som
 blob and rule version is scanned once, whatever number of paths have it now or had it earlier. Findings join back to paths.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, found, joined, labelled, text_of
 
@@ -22,6 +23,13 @@ MORE = (
     ("maps_key", r"AIza[A-Za-z0-9_-]{35,}"),
 )
 BASE = ("assign", "access", "hex")
+SPANS = "array<struct<s:bigint,k:int,e:bigint,kind:string>>"
+_KIND = T.ArrayType(T.StructType([T.StructField("s", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("e", T.LongType()), T.StructField("kind", T.StringType())]))
+SCHEMA = T.StructType([T.StructField("blob", T.StringType()), *[T.StructField(c, _KIND) for c in (*BASE, "more")], T.StructField("rules_version", T.IntegerType())])
+
+
+def no_spans() -> Column:
+    return F.array().cast(SPANS)
 
 
 def blob_of(text: Column) -> Column:
@@ -62,24 +70,54 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules_ve
         gate = c if gate is None else gate | c
     hits = scan_texts(rows.where(gate).groupBy("blob", "text").agg(F.lit(1).alias("_")).select("blob", "text"))
     none = rows.where(~gate).select("blob").distinct()
-    empty = F.array().cast("array<struct<s:bigint,k:int,e:bigint,kind:string>>")
-    return hits.unionByName(none.select("blob", *[empty.alias(c) for c in (*BASE, "more")])).withColumn("rules_version", F.lit(rules_version))
+    return hits.unionByName(none.select("blob", *[no_spans().alias(c) for c in (*BASE, "more")])).withColumn("rules_version", F.lit(rules_version))
 
 
-def findings_by_path(paths: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules_version: int = RULES_VERSION) -> DataFrame:
-    """One row for each path (repeats and null ids included): (doc_id, blob, assign, access, hex, more) of its blob."""
-    p = paths.select(paths[id_col].alias("doc_id"), blob_of(text_of(text_col)).alias("blob"))
+def findings_by_path(paths: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules_version: int = RULES_VERSION, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each path, or version of a path (repeats and null ids included): (doc_id, blob, assign, access, hex, more[, the
+    columns in `keep`]) of its blob."""
+    p = paths.select(paths[id_col].alias("doc_id"), blob_of(text_of(text_col)).alias("blob"), *keep)
     found_ = ledger.where(F.col("rules_version") == rules_version).where(F.size("assign") + F.size("access") + F.size("hex") + F.size("more") > 0)
-    empty = F.array().cast("array<struct<s:bigint,k:int,e:bigint,kind:string>>")
     out = p.join(found_.select("blob", *BASE, "more"), "blob", "left")
-    return out.select("doc_id", "blob", *[F.coalesce(c, empty).alias(c) for c in (*BASE, "more")])
+    return out.select("doc_id", "blob", *[F.coalesce(c, no_spans()).alias(c) for c in (*BASE, "more")], *keep)
+
+
+class Ledger:
+    """The ledger as a table in a shared folder, a folder for each rule version; update() appends what is new.
+
+    A run that fails appends nothing, and one that is repeated finds its blobs there. It outlives sessions, so the next scan
+    of a growing history reads texts once to address them and scans only unseen ones.
+    """
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
-def scan(df: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings of every path, rows to append to the ledger)."""
-    new = Scratch(df.sparkSession, "secrets").save(update_ledger(df, ledger, text_col=text_col), "ledger")
-    known = new if ledger is None else new.unionByName(ledger.select(*new.columns))
-    return findings_by_path(df, known, id_col, text_col), new
+    def read(self) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.createDataFrame([], SCHEMA)
+
+    def update(self, versions: DataFrame, rules_version: int = RULES_VERSION, text_col: str = "text") -> None:
+        new = update_ledger(versions, self.read(), rules_version, text_col)
+        new.select(*SCHEMA.names).write.mode("append").partitionBy("rules_version").parquet(self.path)
+
+    def findings(self, versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules_version: int = RULES_VERSION, keep: tuple[str, ...] = ()) -> DataFrame:
+        return findings_by_path(versions, self.read(), id_col, text_col, rules_version, keep)
+
+
+def scan(df: DataFrame, ledger: Ledger | None = None, increments: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, blob, assign, access, hex, more), one row for each input row, whose blobs the ledger has afterwards.
+
+    Without a ledger, one is made for this run. With several `increments`, rows come to it in so many steps, by a hash of their id, as a
+    history would: each step scans only blobs that no step before has met. Null texts count as empty, repeated rows and null ids
+    are paths of their own, and an empty table gives an empty result. Texts are scanned whole, whatever their length, and
+    further columns of any name are not read.
+    """
+    ledger = ledger or Ledger(df.sparkSession, Scratch(df.sparkSession, "secrets").root + "/ledger")
+    for k in range(increments):
+        ledger.update(df.where(F.pmod(F.xxhash64(df[id_col]), F.lit(increments)) == k) if increments > 1 else df, text_col=text_col)
+    return ledger.findings(df, id_col, text_col)
 
 
 def digest(rows: DataFrame) -> DataFrame:

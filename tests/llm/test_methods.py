@@ -269,7 +269,7 @@ HARD = [
 
 
 @here
-@pytest.mark.parametrize("rules,run", [(PII, lambda d: pii.digest(pii.find(d))), (SECRETS, lambda d: secret_scan.digest(secret_scan.scan(d)[0]))], ids=["pii", "secrets"])
+@pytest.mark.parametrize("rules,run", [(PII, lambda d: pii.digest(pii.find(d))), (SECRETS, lambda d: secret_scan.digest(secret_scan.scan(d, increments=2)))], ids=["pii", "secrets"])
 def test_base_spans(spark, rules, run):
     rnd = random.Random(4)
     alphabet = "01239.@+- ()abAKI:=\"'f😀"
@@ -334,14 +334,37 @@ def test_trees_on_held_out_texts():
     assert hit[y == 1].mean() > 0.5 and 0.02 < np.abs((p > 0.5) - y).mean() < 0.25
 
 
-def test_ledger_scans_a_blob_once(spark):
-    old = spark.createDataFrame([(1, "a.py", "token=abcdefgh1"), (2, "b.py", "plain")], "doc_id long, path string, text string")
-    found, ledger = secret_scan.scan(old)
-    assert ledger.count() == 2 and found.where(F.size("assign") > 0).count() == 1
-    new = old.unionByName(spark.createDataFrame([(3, "c.py", "token=abcdefgh1"), (4, "d.py", "AKIA123456789012")], old.schema))
-    again, more = secret_scan.scan(new, ledger)
-    assert more.count() == 1 and again.where(F.size("assign") > 0).count() == 2 and again.where(F.size("access") > 0).count() == 1
-    assert secret_scan.update_ledger(new, ledger, rules_version=2).count() == 3
+def test_ledger_scans_a_blob_once(spark, tmp_path):
+    """A history of versions: a path that changes, goes back and is copied. Each blob is scanned once for each rule version."""
+    history = [("a.py", 1, "token=abcdefgh1"), ("a.py", 2, "plain"), ("b.py", 2, None), ("a.py", 3, "token=abcdefgh1"), ("c.py", 3, "token=abcdefgh1"), ("d.py", 4, "AKIA123456789012"), ("b.py", 4, "plain")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(history)], "doc_id long, path string, version int, text string")
+    ledger, sizes, seen = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger"), [], set()
+    for v in (1, 2, 3, 4, 4):
+        ledger.update(d.where(F.col("version") <= v))
+        seen |= {t or "" for _, k, t in history if k <= v}
+        sizes.append(ledger.read().count())
+        assert sizes[-1] == len(seen)
+    assert sizes == [1, 3, 3, 4, 4]
+    again = secret_scan.Ledger(spark, ledger.path).findings(d, keep=("path", "version"))
+    assert {(r["path"], r["version"]) for r in again.where(F.size("assign") > 0).collect()} == {("a.py", 1), ("a.py", 3), ("c.py", 3)}
+    assert again.count() == len(history) and again.where(F.size("access") > 0).first()["path"] == "d.py"
+    ledger.update(d, rules_version=2)
+    assert ledger.read().groupBy("rules_version").count().collect() == [(1, 4), (2, 4)] or {tuple(r) for r in ledger.read().groupBy("rules_version").count().collect()} == {(1, 4), (2, 4)}
+
+
+@here
+def test_added_secrets(spark):
+    """Every span of the added kinds, by Python's own regular expressions."""
+    rnd = random.Random(3)
+    word = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    letters = "abcXYZ019_-"
+    made = [f"x {k} y" for k in ("-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "ghp_" + "a1" * 18, "ghp_" + "a" * 35, "gho_" + "Zz9" * 13, "xoxb-12345-abcde", "xoxq-1234567890", "AIza" + "x_-" * 12)]
+    made += ["eyJ" + word(letters, 12) + ".eyJ" + word(letters, 14) + "." + word(letters, rnd.randint(1, 9)) for _ in range(40)]
+    made += [" ".join(rnd.choice(["xoxa-", "ghu_", "AIza", "eyJ", "AKIA"]) + word(letters, rnd.randint(3, 50)) for _ in range(6)) for _ in range(60)]
+    rows = texts(spark) + [(10**6 + i, t) for i, t in enumerate(made)]
+    got = {r["doc_id"]: r["more"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = {d: sorted((m.start(), m.end(), k) for k, p in secret_scan.MORE for m in re.finditer(p, t)) for d, t in rows}
+    assert {d: sorted((x["s"], x["e"], x["kind"]) for x in v) for d, v in got.items()} == want and sum(map(bool, want.values())) > 60
 
 
 # ---- trained models
@@ -425,3 +448,39 @@ def test_mixed_rows_are_all_there(spark):
     assert collections.Counter((r[0], r[2], len(r[1].split())) for r in back) == +n and sum(n.values()) == len(back) > 100
     kept = exact_dedup.drop_copies(d)
     assert kept.columns == d.columns and {r["text"] for r in kept.collect()} == {r[1] for r in rows}
+
+
+@here
+def test_discriminant_by_hand(spark):
+    """The scores of a second, plain discriminant: densities by matrix inverse and determinant, the curve by a general minimiser's
+    conditions, on the features of the same rows."""
+    base = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    import zlib
+
+    out = {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, _ in texts(spark)}
+    x = {d: quality_classifier.features(t) for d, t in texts(spark)}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] in (0, 1) and not out.get(r["doc_id"], True)}
+    a = [np.array([x[d] for d in sorted(y) if y[d] == k]) for k in (0, 1)]
+    dim = a[0].shape[1]
+    mean = [v.mean(0) for v in a]
+    within = [(v - m).T @ (v - m) for v, m in zip(a, mean)]
+    pooled = sum(within) / sum(map(len, a))
+    cov = []
+    for k in (0, 1):
+        c = 0.8 * (within[k] + 5 * pooled) / (len(a[k]) + 5) + 0.2 * pooled
+        cov.append(0.98 * c + 0.02 * np.trace(c) / dim * np.eye(dim))
+
+    def log_density(v, k):
+        return -0.5 * np.einsum("ni,ij,nj->n", v - mean[k], np.linalg.inv(cov[k]), v - mean[k]) - 0.5 * np.log(np.linalg.det(cov[k]))
+
+    ids = sorted(x)
+    v = np.array([x[d] for d in ids])
+    diff = np.clip(log_density(v, 1) - log_density(v, 0), -1e4, 1e4)
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
+    assert all(got[d]["held_out"] == out[d] for d in ids)
+    score = np.array([got[d]["score"] for d in ids])
+    inside = (score > 1e-9) & (score < 1 - 1e-9)
+    logit, bent = np.log(score[inside] / (1 - score[inside])), np.sign(diff[inside]) * np.log1p(np.abs(diff[inside]))
+    slope, offset = np.polyfit(bent, logit, 1)
+    assert inside.sum() > 20 and slope > 0 and np.abs(slope * bent + offset - logit).max() < 1e-3
