@@ -293,10 +293,12 @@ def judge(text: str, background: tuple[str, ...] = ()) -> tuple[str | None, floa
 
 
 def background(df: DataFrame, documents: int = 400, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, ...]:
-    """Paragraphs that share fewer than two pairs of words with every template, from `documents` texts of at most `longest`
-    characters: those with the smallest hashes, so the sample doesn't depend on partitions. Only training reads it."""
+    """Paragraphs that share fewer than two pairs of words with every template, from about `documents` texts of at most `longest`
+    characters, chosen by a hash, so the sample doesn't depend on partitions. Only training reads it; twice as many texts are the
+    most that reach the driver."""
     text = text_of(text_col)
-    some = df.select(text.alias("text"), F.xxhash64(df[id_col], text).alias("h")).where(F.length("text").between(1, longest)).orderBy("h").limit(documents).collect()
+    rows = df.select(text.alias("text"), F.xxhash64(df[id_col], text).alias("h")).where(F.length("text").between(1, longest))
+    some = rows.where(F.pmod("h", F.lit(max(1, df.count()))) < documents).limit(2 * documents).collect()
     known = [set(pairs(f)) for f in FAMILIES]
     out = []
     for r in sorted(some, key=lambda r: r["h"]):
