@@ -63,13 +63,15 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules_ve
     Null texts count as empty; an empty table gives an empty ledger.
     """
     rows = versions.select(text_of(text_col).alias("text")).select(blob_of(F.col("text")).alias("blob"), "text")
-    if ledger is not None:
-        rows = rows.join(ledger.where(F.col("rules_version") == rules_version).select("blob").distinct(), "blob", "left_anti")
     gate = None
     for c in _gates(F.col("text")).values():
         gate = c if gate is None else gate | c
-    hits = scan_texts(rows.where(gate).groupBy("blob", "text").agg(F.lit(1).alias("_")).select("blob", "text"))
+    some = rows.where(gate).groupBy("blob").agg(F.first("text").alias("text"))  # equal blobs meet before they are compared with the ledger
     none = rows.where(~gate).select("blob").distinct()
+    if ledger is not None:
+        seen = ledger.where(F.col("rules_version") == rules_version).select("blob").distinct()
+        some, none = (x.join(seen, "blob", "left_anti") for x in (some, none))
+    hits = scan_texts(some)
     return hits.unionByName(none.select("blob", *[no_spans().alias(c) for c in (*BASE, "more")])).withColumn("rules_version", F.lit(rules_version))
 
 
