@@ -38,7 +38,7 @@ SMALL = 48
 ROWS = 2_000  #: documents that a task signs before it sends their rows
 HELD = 1_000_000  #: shingles that a task holds before it counts and sends them
 FREQUENT = 1_000_000  #: shingles that are left out of the signatures of large blocks, at most: 8 MB
-BLOCK = 2_000_000  #: shingles of a unit that one task searches
+BLOCK = 1_000_000  #: shingles of a unit that one task searches
 HEAP = 20_000  #: postings of a query's short lists up to which a heap merges them; more are merged as sorted runs by numpy
 FEW = 16  #: candidates up to which all long lists are probed at once
 PARTS_FROM = 90  #: percent from which sets are signed by parts, and below which by their rarest shingles
@@ -68,7 +68,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
         return np.empty(0, U)
     if len(w) < k:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed=len(w))], U)
-    if len(_words) > 100_000:
+    if len(_words) > 60_000:
         _words.clear()
     h = np.fromiter(map(_words.__getitem__, w), U, len(w))
     n = len(w) - k + 1
@@ -220,7 +220,7 @@ def _counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(x)]))], names=["x", "c"])
 
 
-RARE_BITS = (20, 28)  #: least and most of the bits that index the two bitmaps; 28 are 32 MB each
+RARE_BITS = (20, 27)  #: least and most of the bits that index the two bitmaps; 27 are 16 MB each
 MANY = 32
 RANGE = 4_000_000  #: shingles that one group of the count takes, as an average
 
@@ -270,7 +270,7 @@ def _segments(t: pa.Table, log: int) -> pa.Table:
 def rarity(texts: DataFrame, k: int) -> Rarity:
     """Counts the shingles of all texts. Groups and bitmaps follow the counted characters, and the bitmaps have a largest size."""
     words = (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // 5 + 1
-    log = min(max(RARE_BITS[0], (4 * words).bit_length()), RARE_BITS[1])
+    log = min(max(RARE_BITS[0], (2 * words).bit_length()), RARE_BITS[1])
     ranges = min(max(64, words // RANGE), 1 << (log - 3))
     twice, many = np.zeros(1 << (log - 3), np.uint8), np.zeros(1 << (log - 3), np.uint8)
     parts = texts.select("text").mapInArrow(lambda it: _tops(it, k, log, ranges), "r int, x binary").groupBy("r").applyInArrow(lambda t: _segments(t, log), "at long, twice binary, many binary")

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CHUNKS = 250_000  #: kept encodings in each Python worker
-PAIRS = 500_000  #: kept answers to whether a piece may follow another
+CHUNKS = 120_000  #: kept encodings in each Python worker
+PAIRS = 524_287  #: places for answers to whether a piece may follow another: 4 MB
 ROWS = 256  #: rows encoded at once
 
 
@@ -57,7 +57,7 @@ class Pieces:
             if kind != "bpe" or self.merge(p) == [i]:
                 self.automaton.add_word(p, (len(p), i, self.scores[i]))
         self.automaton.make_automaton()
-        self.pairs: dict[int, bool] = {}
+        self.pairs = array("q", bytes(8 * PAIRS))  # by the pair modulo PAIRS: twice the pair, and whether the second may follow
         self.cache: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[int]:
@@ -114,12 +114,11 @@ class Pieces:
             if a < 0:
                 continue
             if at:
-                ok = pairs.get(a * size + i)
-                if ok is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    ok = pairs[a * size + i] = self.merge((self.table[a] + self.table[i]).decode()) == [a, i]
-                if not ok:
+                key = a * size + i
+                got = pairs[key % PAIRS]
+                if got >> 1 != key:
+                    got = pairs[key % PAIRS] = 2 * key + (self.merge((self.table[a] + self.table[i]).decode()) == [a, i])
+                if not got & 1:
                     continue
             last[to], back[to] = i, at
         if last[n] < 0:
