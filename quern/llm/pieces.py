@@ -16,6 +16,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from math import nextafter
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CHUNKS = 120_000  #: kept encodings in each Python worker
+CHUNKS = 160_000  #: kept encodings in each Python worker
 PAIRS = 524_287  #: places for answers to whether a piece may follow another: 4 MB
 ROWS = 256  #: rows encoded at once
 
@@ -58,6 +59,8 @@ class Pieces:
                 self.automaton.add_word(p, (len(p), i, self.scores[i]))
         self.automaton.make_automaton()
         self.pairs = array("q", bytes(8 * PAIRS))  # by the pair modulo PAIRS: twice the pair, and whether the second may follow
+        self.texts = [t.decode("utf-8", "replace") for t in self.table]
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.cache: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[int]:
@@ -94,6 +97,45 @@ class Pieces:
             a = after[a]
         return out
 
+    def _halves(self, i: int) -> tuple[int, int] | None:
+        """The two pieces that the last merge of a piece's text joins; None for one character."""
+        got = self.halves.get(i, 0)
+        if got == 0:
+            text, got = self.texts[i], None
+            for k in range(1, len(text)):  # of all cuts into two pieces that merging leaves apart until the end, there is one
+                a, b = self.ids.get(text[:k]), self.ids.get(text[k:])
+                if a is not None and b is not None and self._apart(a, b, self._rank(i)):
+                    got = (a, b)
+                    break
+            self.halves[i] = got
+        return got
+
+    def _rank(self, i: int) -> float:
+        """Smaller is merged earlier; single characters are there from the start."""
+        return -self.scores[i] if len(self.texts[i]) > 1 else float("-inf")
+
+    def _apart(self, a: int, b: int, limit: float) -> bool:
+        """Whether no piece across the border of a and b is merged before `limit`: both are taken apart again, the later merge first,
+        and at each step the pieces that touch must not have been joined before the later of them was made."""
+        ids, texts = self.ids, self.texts
+        while True:
+            c = ids.get(texts[a] + texts[b])
+            if c is not None and self._rank(c) < limit:
+                return False
+            x, y = self._rank(a), self._rank(b)
+            if x == y == float("-inf"):
+                return True
+            if x > y:
+                limit, a = x, self._halves(a)[1]
+            else:  # a border left of b with the score of b is merged first, being further left
+                limit, b = nextafter(y, float("inf")), self._halves(b)[0]
+
+    def _follows(self, a: int, b: int) -> bool:
+        """Whether merging the texts of two pieces gives these two back. Pieces of several spaces share one score: merged outright."""
+        if "  " in self.texts[a] + self.texts[b]:
+            return self.merge(self.texts[a] + self.texts[b]) == [a, b]
+        return self._apart(a, b, float("inf"))
+
     def _path(self, text: str) -> list[int]:
         """Ids of a text whose every character is in the alphabet."""
         if self.kind != "bpe":
@@ -117,7 +159,7 @@ class Pieces:
                 key = a * size + i
                 got = pairs[key % PAIRS]
                 if got >> 1 != key:
-                    got = pairs[key % PAIRS] = 2 * key + (self.merge((self.table[a] + self.table[i]).decode()) == [a, i])
+                    got = pairs[key % PAIRS] = 2 * key + self._follows(a, i)
                 if not got & 1:
                     continue
             last[to], back[to] = i, at

@@ -142,6 +142,19 @@ def test_pieces_equal_the_library(spark):
     assert p.decode(np.frombuffer(p.encode("▁a ▁"), np.int32)) == "▁a ▁"
 
 
+def test_which_piece_may_follow():
+    """Taking two pieces apart answers as merging their texts does."""
+    p, rnd = pieces.load(pieces.read_model(PIECE_MODEL), "bpe"), random.Random(5)
+    known = [i for t, i in p.ids.items() if p.merge(t) == [i]]
+    yes = 0
+    for _ in range(30_000):
+        a, b = rnd.choice(known), rnd.choice(known)
+        want = p.merge(p.texts[a] + p.texts[b]) == [a, b]
+        assert p._follows(a, b) == want, (p.texts[a], p.texts[b])
+        yes += want
+    assert 1000 < yes < 30_000
+
+
 def test_long_runs_take_little_time():
     """A million spaces: time grows like n log n, where joining one pair after another over the whole text would take hours."""
     import time
