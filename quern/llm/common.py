@@ -7,8 +7,9 @@ by name into a frame of its own, and one that returns whole rows adds columns un
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +30,13 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that a Python worker never holds copies of more texts."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, fresh
+from .common import Scratch, few_rows, fresh
 
 U = np.uint64
 SLICE_ROWS = 1_000_000  #: counted rows for each merge task
@@ -173,7 +173,7 @@ def _zip(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
 
 def _normal(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, fp, sha[, text]) where text is lower-cased in A-Z only."""
-    for b in batches:
+    for b in few_rows(batches):
         low = [(t.as_py() or "").encode().lower() for t in b.column(1)]
         cols = [b.column(0), pa.array(np.array([xxhash.xxh3_64_intdigest(t) for t in low], np.uint64).view(np.int64)), pa.array([hashlib.sha256(t).digest() for t in low], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols + [pa.array(low, pa.binary())] * with_text, names=["doc_id", "fp", "sha"] + ["text"] * with_text)
@@ -226,7 +226,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _with_sha(batches: Iterator[pa.RecordBatch], at: int, name: str) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in few_rows(batches):
         sha = pa.array([hashlib.sha256((t.as_py() or "").encode().lower()).digest() for t in b.column(at)], pa.binary())
         yield pa.RecordBatch.from_arrays([*b.columns, sha], names=[*b.schema.names, name])
 

@@ -35,7 +35,7 @@ from .common import Scratch, fresh
 from .components import connected_components
 
 SMALL = 48
-ROWS = 2_000  #: documents that a task signs before it sends their rows
+ROWS = 1_000  #: documents that a task signs before it sends their rows
 HELD = 1_000_000  #: shingles that a task holds before it counts and sends them
 FREQUENT = 1_000_000  #: shingles that are left out of the signatures of large blocks, at most: 8 MB
 BLOCK = 1_000_000  #: shingles of a unit that one task searches
@@ -190,6 +190,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, percent: int, order: "np.
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             cols = [part.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(x, U).view(np.int64)) for x in (hi, lo)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs).view(np.int64)))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "hi", "lo", "sigs"])
+    _words.clear()
 
 
 def _edges(sigs: DataFrame) -> DataFrame:
@@ -211,6 +212,7 @@ def _runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[np.ndarray]:
                 held, n = [], 0
     if n:
         yield np.sort(np.concatenate(held))
+    _words.clear()
 
 
 def _counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -439,6 +441,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, percent: int, pairs: bool
             if xxhash.xxh3_128_intdigest(s.tobytes()) & 0xFFFFFFFFFFFFFFFF == lo & 0xFFFFFFFFFFFFFFFF:  # else another text of this id
                 docs.append((doc, s, chunk, weight))
     yield from of(docs, now[1])
+    _words.clear()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -481,6 +484,8 @@ class Joined:
         rare = spark.sparkContext.broadcast(rarity(src, words)) if percent < PARTS_FROM else None
         schema = "doc_id long, n long, hi long, lo long, sigs array<long>"
         signed = tmp.save(src.mapInArrow(lambda it: _signed(it, words, percent, rare and rare.value), schema), "signed")
+        if rare:
+            rare.unpersist()
         known = signed.where("doc_id is not null and n > 0")
         sets = known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sigs").alias("sigs"), F.count("*").alias("rows"))
         sets = tmp.save(sets, "sets")

@@ -260,6 +260,7 @@ def encode(df: DataFrame, model: bytes, kind: str = "bpe", id_col: str = "doc_id
                 if check:
                     cols.append(pa.array([p.decode(values[i:j].tolist()) == t for i, j, t in zip(ends, ends[1:], texts)]))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_pieces", "ids", "round_trip"][: len(cols)])
+        p.cache.clear()  # the worker lives on for other stages
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>" + ", round_trip boolean" * check)
 

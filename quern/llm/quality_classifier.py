@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, few_rows
 
 NAMES = ("words", "word_bytes", "word_spread", "upper", "symbols", "exclaim", "digits", "pipes", "stops", "distinct", "line_words", "again_lines", "long_words", "one_byte", "doubled")
 DIM = len(NAMES)
@@ -81,7 +81,7 @@ def squash(d: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in few_rows(batches):
         x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(b.num_rows, DIM)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * DIM), pa.array(x.ravel()))], names=["doc_id", "x"])
 
@@ -168,7 +168,12 @@ def labelled_rows(feats: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted), one row for each input row. Ids, labels, lang and source are no inputs of a score."""
+    """(doc_id, held_out, score, predicted), one row for each input row. Ids, labels, lang and source are no inputs of a score.
+
+    Null texts count as empty and have a score too; repeated rows score alike, null ids are not held out, an id with several labels
+    counts for each, and a text of any length is scored as a whole. Without rows of both labels every score is 0.5 or the one
+    class's share. An empty table gives an empty one, and further columns of any name are not read.
+    """
     feats = Scratch(df.sparkSession, "quality").save(document_features(df, id_col, text_col), "features")
     model = train(labelled_rows(feats, labels))
 
@@ -182,14 +187,15 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of df that the classifier doesn't reject, with all their columns; texts are scored where they are read."""
+    """The rows of df that the classifier doesn't reject, with all their columns, whatever their names; texts are scored where they are
+    read. Null and empty texts, repeated rows, null ids and missing labels are judged as in classify()."""
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id")).distinct()
     some = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     feats = Scratch(df.sparkSession, "quality").save(document_features(some).join(ids, "doc_id", "left_semi"), "features")
     model, at = train(labelled_rows(feats, labels)), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(b.num_rows, DIM)
             yield b.filter(pa.array(model.score(x) >= threshold, pa.bool_()))
 
