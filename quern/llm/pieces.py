@@ -7,14 +7,15 @@ only if merging the two pieces' text alone gives these two back. Exactly one pat
 it is what merging would have given. Characters without a piece become their bytes.
 
 The automaton works on pieces with U+2581 put back to a space, so a U+2581 in a text is an ordinary character and decoding
-gives back every text. No piece has a space after another character, so a text falls into independent chunks at spaces; a
-bounded table of chunks keeps what was encoded before.
+gives back every text. Where no piece has a space after another character, a text falls into independent chunks at spaces, and
+where none has anything else after a letter, also at the ends of words: no piece can cross such a cut. A bounded table of
+chunks keeps what was encoded before.
 """
 
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from math import nextafter
 
@@ -26,11 +27,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-CHUNKS = 160_000  #: kept encodings in each Python worker
+CHUNKS = 110_000  #: encodings in each of the two tables of a Python worker
 PAIRS = 524_287  #: places for answers to whether a piece may follow another: 4 MB
 ROWS = 256  #: rows encoded at once
 
 
+class _Chunks(dict):
+    """Encodings of chunks. A full table becomes the older one, whose chunks come back when they are met."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, c: str) -> bytes:
+        got = self.older.get(c)
+        if got is None:
+            got = self.encode(c)
+        if len(c) <= 64:
+            if len(self) >= CHUNKS:
+                self.older = dict(self)
+                self.clear()
+            self[c] = got
+        return got
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
+
 class Pieces:
     def __init__(self, model: bytes, kind: str = "bpe"):
         s = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -51,8 +75,7 @@ class Pieces:
                 self.table.append(p.replace(MARK, " ").encode())
         self.alphabet, self.longest = {c for p in self.ids for c in p}, max(map(len, self.ids), default=1)
         self.foreign = re.compile("[^" + "".join(map(re.escape, sorted(self.alphabet))) + "]")
-        split = not any(" " in p.lstrip(" ") for p in self.ids)
-        self.chunk = re.compile((r" *[^ \n]+|\n| +" if "\n" not in self.alphabet else r" *[^ ]+| +") if split else r"(?s).+")
+        self.chunk = re.compile(self._cuts())
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             if kind != "bpe" or self.merge(p) == [i]:
@@ -61,7 +84,17 @@ class Pieces:
         self.pairs = array("q", bytes(8 * PAIRS))  # by the pair modulo PAIRS: twice the pair, and whether the second may follow
         self.texts = [t.decode("utf-8", "replace") for t in self.table]
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Chunks(self._chunk)
+
+    def _cuts(self) -> str:
+        """The pattern of chunks between which no piece reaches."""
+        if any(" " in p.lstrip(" ") for p in self.ids):
+            return r"(?s).+"
+        line = "" if "\n" in self.alphabet else r"\n"
+        words = "".join(map(re.escape, sorted(c for c in self.alphabet if c.isalpha())))
+        if not words or any(re.search(f"[{words}][^{words}]", p) for p in self.ids):
+            return rf" *[^ {line}]+| +" + f"|{line}" * bool(line)
+        return f"{line}|" * bool(line) + rf" *[^{words} {line}]*[{words}]*"  # spaces, other characters, then letters
 
     def merge(self, text: str) -> list[int]:
         """Joins the neighbours of the best score, leftmost first, until none join: the definition of BPE.
@@ -208,19 +241,7 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as 4-byte integers one after another."""
-        if not text:
-            return b""
-        cache, out = self.cache, []
-        for c in self.chunk.findall(" " + text):
-            got = cache.get(c)
-            if got is None:
-                got = self._chunk(c)
-                if len(c) <= 64:
-                    if len(cache) >= CHUNKS:
-                        cache.clear()
-                    cache[c] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.cache.__getitem__, self.chunk.findall(" " + text))) if text else b""
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.table.__getitem__, ids))
@@ -260,7 +281,7 @@ def encode(df: DataFrame, model: bytes, kind: str = "bpe", id_col: str = "doc_id
                 if check:
                     cols.append(pa.array([p.decode(values[i:j].tolist()) == t for i, j, t in zip(ends, ends[1:], texts)]))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_pieces", "ids", "round_trip"][: len(cols)])
-        p.cache.clear()  # the worker lives on for other stages
+        p.cache.forget()  # the worker lives on for other stages
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>" + ", round_trip boolean" * check)
 
