@@ -5,6 +5,7 @@ by name into a frame of its own, and one that returns whole rows adds columns un
 """
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,6 +38,18 @@ def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, after which a Python worker gives freed memory back to the system: it lives on for other stages, and would keep it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the GNU C library has it
+            trim(0)
+
+    return tidied
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, few_rows, fresh
+from .common import Scratch, few_rows, fresh, tidy
 
 U = np.uint64
 SLICE_ROWS = 1_000_000  #: counted rows for each merge task
@@ -206,12 +206,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = df.sparkSession
     tmp = Scratch(spark, "exact-dedup")
     src = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
-    keys = tmp.save(src.mapInArrow(lambda it: _normal(it, False), "doc_id long, fp long, sha binary"), "keys")
+    keys = tmp.save(src.mapInArrow(tidy(lambda it: _normal(it, False)), "doc_id long, fp long, sha binary"), "keys")
     bits = max(4, (keys.count() // SLICE_ROWS).bit_length()) if slice_bits is None else slice_bits
-    slices = keys.select("fp").mapInArrow(lambda it: _build(it, bits), "slice int, q int, slots binary, bits binary")
+    slices = keys.select("fp").mapInArrow(tidy(lambda it: _build(it, bits)), "slice int, q int, slots binary, bits binary")
     many = tmp.save(slices.groupBy("slice").applyInArrow(lambda key, t: _merge(key, t, bits), "fp long, n long"), "many")
     few = many.count() <= BROADCAST_ROWS
-    texts = src.mapInArrow(lambda it: _normal(it, True), "doc_id long, fp long, sha binary, text binary")
+    texts = src.mapInArrow(tidy(lambda it: _normal(it, True)), "doc_id long, fp long, sha binary, text binary")
     marked = texts.join(F.broadcast(many.select("fp")) if few else many.select("fp").hint("merge"), "fp", "left_semi")
     groups = tmp.save(marked.groupBy("fp", "sha", "text").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("text"), "groups")
     out = keys.join(groups, ["fp", "sha"], "left")
@@ -243,7 +243,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     gone = tmp.save(g.where("not kept").select(i, k).distinct(), "gone")
     twice = tmp.save(g.where("kept").groupBy(i, k).agg(F.count("*").alias("c")).where("c > 1").select(i, k), "twice")
     schema = T.StructType([*df.schema.fields, T.StructField(sha, T.BinaryType())])
-    rows = df.mapInArrow(lambda it, at=df.columns.index(text_col): _with_sha(it, at, sha), schema)
+    rows = df.mapInArrow(tidy(lambda it, at=df.columns.index(text_col): _with_sha(it, at, sha)), schema)
 
     def on(keys: DataFrame):
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS // 8 else keys

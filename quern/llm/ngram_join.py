@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Scratch, fresh, tidy
 from .components import connected_components
 
 SMALL = 48
@@ -275,7 +275,7 @@ def rarity(texts: DataFrame, k: int) -> Rarity:
     log = min(max(RARE_BITS[0], (2 * words).bit_length()), RARE_BITS[1])
     ranges = min(max(64, words // RANGE), 1 << (log - 3))
     twice, many = np.zeros(1 << (log - 3), np.uint8), np.zeros(1 << (log - 3), np.uint8)
-    parts = texts.select("text").mapInArrow(lambda it: _tops(it, k, log, ranges), "r int, x binary").groupBy("r").applyInArrow(lambda t: _segments(t, log), "at long, twice binary, many binary")
+    parts = texts.select("text").mapInArrow(tidy(lambda it: _tops(it, k, log, ranges)), "r int, x binary").groupBy("r").applyInArrow(lambda t: _segments(t, log), "at long, twice binary, many binary")
     for r in parts.toLocalIterator():  # the two bitmaps, piece by piece
         for whole, part in ((twice, r["twice"]), (many, r["many"])):
             whole[r["at"] : r["at"] + len(part)] |= np.frombuffer(bytes(part), np.uint8)
@@ -483,7 +483,7 @@ class Joined:
         src = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
         rare = spark.sparkContext.broadcast(rarity(src, words)) if percent < PARTS_FROM else None
         schema = "doc_id long, n long, hi long, lo long, sigs array<long>"
-        signed = tmp.save(src.mapInArrow(lambda it: _signed(it, words, percent, rare and rare.value), schema), "signed")
+        signed = tmp.save(src.mapInArrow(tidy(lambda it: _signed(it, words, percent, rare and rare.value)), schema), "signed")
         if rare:
             rare.unpersist()
         known = signed.where("doc_id is not null and n > 0")
@@ -498,10 +498,10 @@ class Joined:
         if total and not rare:  # documents that share long passages may be one block: sign them again without the shingles that many share
             texts = src.join(_small(large.select("doc_id").distinct()), "doc_id")
             least = max(20, -(-total // FREQUENT))
-            counted = texts.select("text").mapInArrow(lambda it: _counts(it, words), "x long, c long").groupBy("x").agg(F.sum("c").alias("c"))
+            counted = texts.select("text").mapInArrow(tidy(lambda it: _counts(it, words)), "x long, c long").groupBy("x").agg(F.sum("c").alias("c"))
             often = np.sort(np.array([r["x"] for r in counted.where(F.col("c") >= least).select("x").collect()], np.int64).view(U))  # FREQUENT at most
             frequent = spark.sparkContext.broadcast(often)
-            again = texts.mapInArrow(lambda it: _signed(it, words, percent, frequent.value), schema).groupBy("hi", "lo").agg(F.max("sigs").alias("sigs"))
+            again = texts.mapInArrow(tidy(lambda it: _signed(it, words, percent, frequent.value)), schema).groupBy("hi", "lo").agg(F.max("sigs").alias("sigs"))
             again = tmp.save(again.join(sets.select("hi", "lo", "rep"), ["hi", "lo"]).select("rep", "sigs"), "again")
             finer = self._blocks(_edges(again), sets, tmp, "finer").join(_small(large.select("doc_id").distinct()), "doc_id", "left_semi")
             members = tmp.save(members.where(F.col("total") <= block).unionByName(finer), "finer-members")
@@ -509,7 +509,7 @@ class Joined:
         units = units.join(_small(self.copies.select(F.col("rep").alias("doc_id"), "lo", "weight")), ["doc_id", "lo"], "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
         units = src.join(_small(units), "doc_id").select("block", "unit", "doc_id", "lo", "text", "chunk", "weight")
         units = units.repartition("block", "unit").sortWithinPartitions("block", "unit")
-        self.found = tmp.save(units.mapInArrow(lambda it: _search(it, words, percent, pairs), "kind int, a long, b long"), "found")
+        self.found = tmp.save(units.mapInArrow(tidy(lambda it: _search(it, words, percent, pairs)), "kind int, a long, b long"), "found")
 
     @staticmethod
     def _blocks(edges: DataFrame, sets: DataFrame, tmp: Scratch, name: str) -> DataFrame:

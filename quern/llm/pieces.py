@@ -26,6 +26,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MARK = "▁"
 CHUNKS = 110_000  #: encodings in each of the two tables of a Python worker
 PAIRS = 524_287  #: places for answers to whether a piece may follow another: 4 MB
@@ -283,7 +285,7 @@ def encode(df: DataFrame, model: bytes, kind: str = "bpe", id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_pieces", "ids", "round_trip"][: len(cols)])
         p.cache.forget()  # the worker lives on for other stages
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids array<int>" + ", round_trip boolean" * check)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_pieces long, ids array<int>" + ", round_trip boolean" * check)
 
 
 def decode(df: DataFrame, model: bytes, kind: str = "bpe", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

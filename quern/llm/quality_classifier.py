@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, few_rows
+from .common import Scratch, few_rows, tidy
 
 NAMES = ("words", "word_bytes", "word_spread", "upper", "symbols", "exclaim", "digits", "pipes", "stops", "distinct", "line_words", "again_lines", "long_words", "one_byte", "doubled")
 DIM = len(NAMES)
@@ -87,7 +87,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(_features, "doc_id long, x array<double>")
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text")).mapInArrow(tidy(_features), "doc_id long, x array<double>")
 
 
 def held_out(id_col: str):
@@ -199,4 +199,4 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
             x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(b.num_rows, DIM)
             yield b.filter(pa.array(model.score(x) >= threshold, pa.bool_()))
 
-    return df.mapInArrow(run, T.StructType(df.schema.fields))
+    return df.mapInArrow(tidy(run), T.StructType(df.schema.fields))
